@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import components, plain, windows
+from palimpsest.llm import components, neardup, plain, windows
 from palimpsest.sources import table
 
 
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every retold fact with the smallest fact of its group."""
+    facts = table(spark, sf_dir, "chunk_facts").select("fact_id", F.coalesce("event", "description", "fact").alias("statement"))
+    facts = plain.with_plain_form(facts.filter("statement is not null"), "statement", "plain")
+    return neardup.near_duplicates(facts, "fact_id", "plain").select(F.col("id").alias("fact_id"), "group_id")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = p1_groups(spark, sf_dir).withColumnRenamed("fact_id", "id")
+    return neardup.member_pairs(groups, "fact_id_a", "fact_id_b")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for name, key, field in (("chunk_facts", "fact_id", "evidence"), ("chunk_heroine_entries", "entry_id", "heroine_name")):
@@ -36,6 +48,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_groups": p1_groups,
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p4_found": p4_found, 
     "p4_balanced": p4_balanced,
