@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import components, neardup, plain, windows
+from palimpsest.llm import components, leaks, neardup, plain, windows
 from palimpsest.sources import table
 
 
@@ -47,6 +47,22 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.alias_groups(table(spark, sf_dir, "alias_records"))
 
 
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the passages they hold and the share held."""
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_passages"), "item_id", "passage")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which passages leaked, and into how many documents."""
+    items = table(spark, sf_dir, "eval_passages").select("item_id", "suite").distinct()
+    found = p8_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"))
+    return items.join(found, "item_id", "left").select("item_id", "suite", F.coalesce("documents", F.lit(0)).alias("documents"))
+
+
 QUERIES = {
     "p1_groups": p1_groups,
     "p1_found": p1_found,
@@ -54,5 +70,8 @@ QUERIES = {
     "p4_found": p4_found, 
     "p4_balanced": p4_balanced,
     "p7_found": p7_found,
+    "p8_leaks": p8_leaks,
+    "p8_found": p8_found,
+    "p8_items": p8_items,
 }
 SQL: dict[str, str] = {}
