@@ -113,13 +113,15 @@ def stretches(passage: str, text: str, gap: int = 30, drift: int = 6, identity:
     return [(c[0], c[1], c[0] + c[2]) for c in chains if c[4] >= identity * (c[1] - c[0])]
 
 
-def held(passage: str, text: str, least: int = 20) -> float:
-    """The largest fraction of the passage that the text holds in its own order in one or two stretches."""
+def held(passage: str, text: str, least: float = 0.12) -> float:
+    """The largest fraction of the passage that the text holds in its own order in one or two stretches.
+
+    A stretch shorter than ``least`` of the passage is a turn of phrase.
+    """
     total = len(_fold(passage))
-    found = [s for s in stretches(passage, text) if s[1] - s[0] >= least]
+    found = [s for s in stretches(passage, text) if s[1] - s[0] >= max(20, least * total)]
     if not total or not found:
         return 0.0
-    found = sorted(found, key=lambda s: s[0] - s[1])[:60]
     best = max(b - a for a, b, _ in found)
     for a, b, at in found:
         for c, d, to in found:

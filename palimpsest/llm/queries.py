@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import components, leaks, neardup, plain, windows
+from palimpsest.llm import components, language, leaks, mixture, neardup, plain, windows
 from palimpsest.sources import table
 
 
@@ -63,6 +63,45 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(found, "item_id", "left").select("item_id", "suite", F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mixture.mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source", table(spark, sf_dir, "mix_targets"))
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document of the mixture, its size and how often it is used."""
+    return _mix(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[1]
+
+
+def _languages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, language.Model]:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return docs, language.train(docs, "doc_id", "text", "lang")
+
+
+def p10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every language of every text with its whole sentences and a confidence, next to the label."""
+    docs, model = _languages(spark, sf_dir)
+    return language.with_languages(docs.withColumnRenamed("lang", "label"), "doc_id", "text", model, ["label"])
+
+
+def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, model = _languages(spark, sf_dir)
+    return language.language_segments(docs, "doc_id", "text", model)
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = p10_languages(spark, sf_dir).filter("main or sentences >= 2")
+    both = found.groupBy("doc_id").agg(
+        F.collect_set("lang").alias("langs"), F.max(F.when(F.col("main"), F.col("lang"))).alias("main"), F.first("label").alias("label")
+    )
+    named = language.label_language(F.col("label"))
+    wrong = named.isNull() | (named != F.col("main")) | (F.size("langs") > 1)
+    return both.filter(wrong).select("doc_id", F.explode("langs").alias("lang"))
+
+
 QUERIES = {
     "p1_groups": p1_groups,
     "p1_found": p1_found,
@@ -73,5 +112,10 @@ QUERIES = {
     "p8_leaks": p8_leaks,
     "p8_found": p8_found,
     "p8_items": p8_items,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
+    "p10_languages": p10_languages,
+    "p10_segments": p10_segments,
+    "p10_found": p10_found,
 }
 SQL: dict[str, str] = {}

@@ -64,7 +64,9 @@ class Tokens:
 
 def tokenize(texts: list[str | None]) -> Tokens:
     """Tokens of all texts; NULL and empty texts have none."""
-    folded = [(t or "").lower().replace("\x00", " ") for t in texts]
+    # Lower case must not move offsets: the few texts where it would are left as they are.
+    folded = [low if len(low := (t or "").lower()) == len(t or "") else t for t in texts]
+    folded = [t.replace("\x00", " ") for t in folded]
     lengths = np.fromiter((len(t) for t in folded), np.int64, len(folded))
     points = np.frombuffer("\x00".join([*folded, ""]).encode("utf-32-le", "surrogatepass"), np.uint32) if folded else np.zeros(0, np.uint32)
     kind = _kinds()[points]
