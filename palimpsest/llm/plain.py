@@ -4,7 +4,7 @@ A transducer over grapheme clusters, compiled once per process: every cluster th
 the longest entry of a mapping that is computed from the Unicode tables and checked for conflicts (each output is
 plain itself, and no input has two outputs). Word context decides look-alike letters: a Latin letter inside a
 Cyrillic word becomes Cyrillic, a Greek or Cyrillic letter inside a Latin word or a letter-and-digit code becomes
-Latin. Values without any suspicious character are recognised by one regular expression in the JVM and never leave it.
+Latin. Values without any suspicious character are recognised by one search for a character class.
 
 Plain form: Latin letters and digits in normal width, accents composed, ordinary spaces, nothing invisible, unified
 ideographs instead of radicals and compatibility forms. Chinese punctuation, words that are properly Cyrillic or
@@ -15,12 +15,14 @@ Defined results: NULL stays NULL, the empty text stays empty, a text of invisibl
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -49,7 +51,7 @@ IDEOGRAPHS = "\u2e80-\u2fdf\uf900-\ufaff\U0002f800-\U0002fa1f"
 STYLED = "\U0001d400-\U0001d7ff"
 MARKS = "\u0300-\u036f"
 
-#: A value without a match of this is plain; both Java and Python read it.
+#: A value without a match of this is plain.
 SUSPICIOUS = f"[{INVISIBLE}{SPACES}{WIDE}{IDEOGRAPHS}{STYLED}{MARKS}{''.join(TO_LATIN)}]"
 
 
@@ -93,7 +95,7 @@ def _transducer():
     mapping = _compile()
     cluster = regex.compile(r"\X")
     emoji = regex.compile(r"\p{Extended_Pictographic}")
-    suspicious = regex.compile(SUSPICIOUS)
+    suspicious = re.compile(SUSPICIOUS)
     alien = regex.compile(f"[{''.join(TO_LATIN)}]")
     latin = regex.compile(r"\p{Script=Latin}")
     cyrillic, greek = regex.compile(r"\p{Script=Cyrillic}"), regex.compile(r"\p{Script=Greek}")
@@ -156,18 +158,20 @@ def _plain_udf(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else f(v))
 
 
-def suspicious(column: Column | str) -> Column:
-    """True for texts that may differ from their plain form, false for texts that are surely plain."""
-    return F.col(column).rlike(SUSPICIOUS) if isinstance(column, str) else column.rlike(SUSPICIOUS)
-
-
 def with_plain_form(df: DataFrame, column: str, out: str) -> DataFrame:
-    """``df`` with the plain form of ``column`` as ``out``; the Python side sees only NULL for surely plain texts."""
-    doubtful = F.when(suspicious(column), F.col(column))
-    return df.withColumn(out, F.coalesce(_plain_udf(doubtful), F.col(column)))
+    """``df`` with the plain form of ``column`` as ``out``."""
+    return df.withColumn(out, _plain_udf(column))
 
 
 def not_plain(df: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, value, plain form) of the rows whose value is not in plain form."""
-    rows = df.select(key, column).filter(suspicious(column))
-    return rows.withColumn("plain", _plain_udf(column)).filter(F.col("plain") != F.col(column))
+    """The keys of the rows whose value is not in plain form."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def select(batches):
+        f = _transducer()
+        for batch in batches:
+            values = batch.column(1).to_pylist()
+            at = [i for i, v in enumerate(values) if v is not None and f(v) != v]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32()))], [key])
+
+    return df.filter(F.col(column).isNotNull()).select(key, column).mapInArrow(select, f"`{key}` {kind}")

@@ -12,8 +12,7 @@ from palimpsest.sources import table
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every retold fact with the smallest fact of its group."""
     facts = table(spark, sf_dir, "chunk_facts").select("fact_id", F.coalesce("event", "description", "fact").alias("statement"))
-    facts = plain.with_plain_form(facts.filter("statement is not null"), "statement", "plain")
-    return neardup.near_duplicates(facts, "fact_id", "plain").select(F.col("id").alias("fact_id"), "group_id")
+    return neardup.near_duplicates(facts, "fact_id", "statement", prepare=plain.plain).select(F.col("id").alias("fact_id"), "group_id")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
