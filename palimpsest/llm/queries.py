@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import components, language, leaks, mixture, neardup, plain, windows
+from palimpsest.llm import components, language, leaks, mixture, names, neardup, plain, truncated, windows
 from palimpsest.sources import table
 
 
@@ -28,6 +28,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).distinct()
 
 
+def p3_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling that is linked with another one, and its person."""
+    return names.persons(names.spellings(table(spark, sf_dir, "chunk_heroine_entries"), table(spark, sf_dir, "heroine_candidates")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.spelling_pairs(p3_persons(spark, sf_dir))
+
+
 def _windows(spark: SparkSession, sf_dir: str, plan: str) -> DataFrame:
     spans = windows.cluster_windows(table(spark, sf_dir, "proximity_clusters"), table(spark, sf_dir, "co_occurrence_hits"))
     texts = table(spark, sf_dir, "documents").select("book_id", "chunk_idx", "text")
@@ -42,6 +51,31 @@ def p4_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _windows(spark, sf_dir, "balanced")
 
 
+def _cut_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(field, id, cut, score, by) of every judged value of the three fields."""
+    facts = table(spark, sf_dir, "chunk_facts")
+    outlines = truncated.causal_descriptions(table(spark, sf_dir, "chunk_results"))
+    fields = (("event", facts, "fact_id", "event"), ("evidence", facts, "fact_id", "evidence"), ("causal_description", outlines, "result_id", "description"))
+    parts = [truncated.find_cut(df, key, column, plain.plain).withColumn("field", F.lit(name)) for name, df, key, column in fields]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cut_fields(spark, sf_dir).filter("cut").select("field", F.col("id").alias("row_key")).distinct()
+
+
+def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source cuts each field; re-delivered rows count once."""
+    sources = [
+        table(spark, sf_dir, name).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), "source").dropDuplicates(["id"])
+        for name, key, kind in (("chunk_facts", "fact_id", "fact"), ("chunk_results", "result_id", "result"))
+    ]
+    judged = _cut_fields(spark, sf_dir).withColumn("kind", F.when(F.col("field") == "causal_description", "result").otherwise("fact"))
+    joined = judged.join(sources[0].unionByName(sources[1]), ["kind", "id"])
+    n_cut = F.count(F.when(F.col("cut"), 1))
+    return joined.groupBy("field", "source").agg(F.count("*").alias("n"), n_cut.alias("n_cut"), (n_cut / F.count("*")).alias("rate"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.alias_groups(table(spark, sf_dir, "alias_records"))
 
@@ -105,8 +139,12 @@ QUERIES = {
     "p1_groups": p1_groups,
     "p1_found": p1_found,
     "p2_found": p2_found,
+    "p3_persons": p3_persons,
+    "p3_found": p3_found,
     "p4_found": p4_found, 
     "p4_balanced": p4_balanced,
+    "p6_found": p6_found,
+    "p6_rates": p6_rates,
     "p7_found": p7_found,
     "p8_leaks": p8_leaks,
     "p8_found": p8_found,
