@@ -130,7 +130,7 @@ def parse(name: str, known: Knowledge) -> Form:
 
 def _deletions(token: str) -> Iterator[str]:
     yield token
-    if len(token) >= 4:
+    if len(token) >= 3:
         yield from {token[:i] + token[i + 1 :] for i in range(len(token))}
 
 
@@ -180,9 +180,11 @@ def _typed(a: str, b: str) -> float:
     """Likelihood that one word was typed for another."""
     if a == b:
         return 1.0
-    if min(len(a), len(b)) < 4:
+    if min(len(a), len(b)) < 3:
         return 0.0
     d = edits(a, b)
+    if min(len(a), len(b)) == 3:
+        return 0.01 if d == 1 else 0.0
     return {1: 0.03, 2: 0.004 if min(len(a), len(b)) >= 7 else 0.0}.get(d, 0.0)
 
 
@@ -235,6 +237,13 @@ def likelihood(x: Form, y: Form, known: Knowledge) -> float:
     return 0.0
 
 
+def derived(x: Form, y: Form, known: Knowledge) -> bool:
+    """Whether a full form can only be a variant of the other, whatever their frequencies."""
+    if y.kind == "han":
+        return x.kind == "words" or (x.kind == "han" and len(x.parts[0]) == 2 and y.parts[0][1:] == x.parts[0])
+    return x.kind == y.kind == "words" and any(p != y.parts[0] and known.nicks.get(p, {}).get(y.parts[0], 0) > 0 for p in x.parts)
+
+
 _SYLLABLES: set[str] = set()
 
 
@@ -268,13 +277,15 @@ def _learn(names: DataFrame, read: dict[str, str]) -> Knowledge:
                 elif form.kind == "words":
                     first, last = form.parts
                     rows.append((book, f"l{last}", first, n, form.nick))
+                elif form.kind == "part":
+                    rows.append((book, "p", form.parts[0], n, ""))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], ["book_id", "key", "what", "n", "nick"])
 
     seen = names.select("book_id", "name", "n").mapInArrow(parts, "book_id bigint, key string, what string, n bigint, nick string")
     seen = materialize(seen.groupBy("book_id", "key", "what", "nick").agg(F.sum("n").alias("n")), "parts")
     left, right = (seen.groupBy("book_id", "key", "what").agg(F.sum("n").alias("n")).select("book_id", "key", F.col("what").alias(w), F.col("n").alias(f"n{w}")) for w in "xy")
-    both = left.join(right, ["book_id", "key"]).filter("x <> y and nx >= ny")
+    both = left.filter("key <> 'p'").join(right, ["book_id", "key"]).filter("x <> y and nx >= ny")
     # A pair of characters that takes each other's place in several books is a likeness; relatives' names vary freely.
     pairs = both.filter("key like 'w%'").groupBy("x", "y").agg(F.countDistinct("book_id", "key").alias("n")).filter("n >= 2")
     for r in pairs.orderBy(F.desc("n"), "x", "y").limit(MOST_LEARNED).collect():
@@ -284,7 +295,14 @@ def _learn(names: DataFrame, read: dict[str, str]) -> Knowledge:
     # The two parts of a name keep their order: other words before one surname are relatives.
     short = both.filter("key like 'l%' and length(y) < length(x)").groupBy(F.col("x").alias("first"), F.col("y").alias("nick")).agg(F.countDistinct("book_id").alias("n"))
     short = short.filter("n >= 2")
-    for r in quoted.unionByName(short).groupBy("first", "nick").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "first", "nick").limit(MOST_LEARNED).collect():
+    # A word that stands alone and is always in the company of one first name that isn't common stands for it.
+    alone, firsts = seen.filter("key = 'p'").select("book_id", F.col("what").alias("nick")).distinct(), seen.filter("key like 'l%'").select("book_id", F.col("what").alias("first")).distinct()
+    alone = alone.join(firsts, [alone.book_id == firsts.book_id, alone.nick == firsts["first"]], "left_anti")
+    books = alone.groupBy("nick").agg(F.count("*").alias("books")).filter("books >= 3")
+    usual = firsts.groupBy("first").agg((F.count("*") / F.lit(max(1, firsts.select("book_id").distinct().count()))).alias("usual"))
+    company = alone.join(firsts, "book_id").groupBy("nick", "first").agg(F.count("*").alias("n")).join(books, "nick").join(usual, "first")
+    company = company.filter("n >= 0.9 * books and pow(usual, books) < 0.01").select("first", "nick", "n")
+    for r in quoted.unionByName(short).unionByName(company).groupBy("first", "nick").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "first", "nick").limit(MOST_LEARNED).collect():
         known.nicks.setdefault(r.nick, {})[r.first] = r.n
     return known
 
@@ -326,20 +344,21 @@ def persons(names: DataFrame) -> DataFrame:
 
     def weigh(batches):
         for batch in batches:
-            full, weight = [], []
+            full, weight, free = [], [], []
             for a, b in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                form = parse(a, shared.value)
+                form, other = parse(a, shared.value), parse(b, shared.value)
                 full.append(form.full)
-                weight.append(likelihood(form, parse(b, shared.value), shared.value))
+                weight.append(likelihood(form, other, shared.value))
+                free.append(form.full and derived(form, other, shared.value))
             keep = pa.array([w > 0 for w in weight])
-            rows = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(4), batch.column(5), pa.array(full), pa.array(weight, pa.float64())], ["x", "y", "xn", "yn", "full", "weight"])
+            rows = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(4), batch.column(5), pa.array(full), pa.array(weight, pa.float64()), pa.array(free, pa.bool_())], ["x", "y", "xn", "yn", "full", "weight", "free"])
             yield rows.filter(keep)
 
-    weighed = pairs.select("x", "xname", "y", "yname", "xn", "yn").mapInArrow(weigh, "x bigint, y bigint, xn bigint, yn bigint, full boolean, weight double")
+    weighed = pairs.select("x", "xname", "y", "yname", "xn", "yn").mapInArrow(weigh, "x bigint, y bigint, xn bigint, yn bigint, full boolean, weight double, free boolean")
     weighed = materialize(weighed.withColumn("posterior", F.col("weight") * F.col("yn")), "weighed")
-    # A full name goes to a more frequent one (or, at equal counts, to the smaller id) only.
+    # A full name goes to a more frequent one (or, at equal counts, to the larger id), unless only it can be the variant.
     better = F.struct("yn", "y") > F.struct("xn", "x")
-    first = weighed.filter("full").filter(better).groupBy("x").agg(F.max_by("y", F.struct("posterior", "y")).alias("y"))
+    first = weighed.filter("full").filter(F.col("free") | better).groupBy("x").agg(F.max_by("y", F.struct("posterior", "y")).alias("y"))
     roots = connected_components(first, "x", "y")
     roots = materialize(roots.select(F.col("node").alias("y"), "component"), "roots")
     rest = weighed.filter("not full").join(roots, "y", "left").withColumn("root", F.coalesce("component", "y"))
