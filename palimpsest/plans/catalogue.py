@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from palimpsest.plans import nested_queries
+from palimpsest.plans import nested_queries, text_queries
 
-MODULES = (nested_queries,)
+MODULES = (nested_queries, text_queries)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
 
-FLAGSHIP = "p5_found"
+FLAGSHIP = "readability_profile"
