@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.jsontext import lenient_json
-from palimpsest.functions.text import core_name, jaccard, ngram_set, normalize_person, text_hash
+from palimpsest.functions.names import fragments, split_names
+from palimpsest.functions.text import core_name, jaccard, ngram_set, ngrams, normalize_person, text_hash
 from palimpsest.operators import anchors, entities, joins, records, states
 from palimpsest.sources import table
 
@@ -268,13 +269,64 @@ def worker_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("book_id", "block").agg(F.min("chunk_idx").alias("first"), F.max("chunk_idx").alias("last"), F.count("*").alias("n"))
 
 
+def evidence_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _facts(spark, sf_dir, "evidence").filter("evidence is not null").select("fact_id", fragments(F.col("evidence")).alias("f"))
+    return rows.select("fact_id", F.size("f").alias("n"), F.array_max(F.transform("f", F.length)).alias("longest"), F.md5(F.array_join("f", "|")).alias("fragments_md5"))
+
+
+def name_list_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names typed as lists, taken apart: main name and aliases of a record joined as people join them."""
+    listed = F.concat_ws("、", "main_name", "aliases")
+    rows = table(spark, sf_dir, "alias_records").dropDuplicates(["record_id"]).select("record_id", split_names(listed).alias("names"))
+    return rows.select("record_id", F.size("names").alias("n"))
+
+
+def entity_prescan_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent Han 3- and 4-grams of each book; a 3-gram that is mostly part of one 4-gram gives way to it.
+
+    The 80 most frequent of each book are kept (a top-k report).
+    """
+    texts = table(spark, sf_dir, "documents").filter("text is not null").select("book_id", "text")
+    runs = texts.select("book_id", F.explode(F.regexp_extract_all("text", F.lit("[一-鿿]{3,}"), F.lit(0))).alias("r"))
+    grams = runs.select("book_id", F.explode(F.concat(ngrams(F.col("r"), 3), ngrams(F.col("r"), 4))).alias("term"))
+    counts = grams.groupBy("book_id", "term").agg(F.count("*").alias("n")).filter(F.col("n") >= F.when(F.length("term") == 3, 8).otherwise(5))
+    longer = counts.filter(F.length("term") == 4)
+    parts = longer.select("book_id", F.col("n").alias("m"), F.explode(F.array(F.substring("term", 1, 3), F.substring("term", 2, 3))).alias("term"))
+    covered = counts.join(parts, ["book_id", "term"]).filter("m * 10 >= n * 8").select("book_id", "term").distinct()
+    kept = counts.join(covered, ["book_id", "term"], "left_anti")
+    w = Window.partitionBy("book_id").orderBy(F.desc("n"), F.desc(F.length("term")), "term")
+    return kept.withColumn("place", F.row_number().over(w)).filter("place <= 80")
+
+
+def relation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Undirected edges between characters of one chunk that a relationship names together.
+
+    Names are found by joining chunk facts with the chunk's own characters, never with all names.
+    """
+    facts = _facts(spark, sf_dir, "book_id", "chunk_index", "kind", "character_name", "description")
+    people = facts.filter("kind = 'characters' and character_name is not null").select("book_id", "chunk_index", F.col("character_name").alias("name")).distinct()
+    said = facts.filter("kind = 'relationships' and description is not null").select("fact_id", "book_id", "chunk_index", "description")
+    named = said.join(people, ["book_id", "chunk_index"]).filter(F.contains("description", "name")).select("fact_id", "book_id", "name")
+    a, b = named.withColumnRenamed("name", "name_a"), named.withColumnRenamed("name", "name_b")
+    return a.join(b, ["fact_id", "book_id"]).filter("name_a < name_b").groupBy("book_id", "name_a", "name_b").agg(F.count("*").alias("n"))
+
+
+def uncovered_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword places of hits that no window of their cluster covers: an anti-join on intervals within the cluster."""
+    hits = table(spark, sf_dir, "co_occurrence_hits").dropDuplicates(["hit_id"]).filter("keyword_pos is not null").select("hit_id", "cluster_id", "keyword_pos")
+    spans = table(spark, sf_dir, "proximity_clusters").filter("window_start is not null and window_end is not null")
+    spans = spans.select("cluster_id", F.least("window_start", "window_end").alias("s"), F.greatest("window_start", "window_end").alias("e"))
+    inside = hits.join(spans, "cluster_id").filter("keyword_pos >= s and keyword_pos < e").select("hit_id").distinct()
+    return hits.join(inside, "hit_id", "left_anti").groupBy("cluster_id").agg(F.count("*").alias("uncovered"), F.min("keyword_pos").alias("first"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         keep_first_dedup, keep_last_n, checkpoint_delta_merge, knowledge_base_counts, fact_confidence_levels, valid_facts, contradiction_pairs, temporal_match_candidates, temporal_match_greedy,
         foreshadow_stats, neighbour_chunk_context, manifest_diff_reuse, manifest_diff_rescan, chunk_result_reuse, cooccurrence_proximity, cluster_overlaps, dimension_sets, partner_tristate_merge,
         coverage_two_way, verdict_split, alias_components, typo_name_pairs, tfidf_cosine_pairs, json_lenient_parse, evidence_anchor, rolling_context_state, scan_memory_state,
-        character_accumulation, segment_summaries, worker_blocks,
+        character_accumulation, segment_summaries, worker_blocks, evidence_fragments, name_list_split, entity_prescan_tokens, relation_edges, uncovered_keywords,
     )
 }
 
@@ -365,6 +417,38 @@ SQL = {
     "segment_summaries": f"""
         WITH r AS (SELECT book_id, chunk_index // 50 AS segment, event, row_number() OVER (PARTITION BY book_id, chunk_index // 50 ORDER BY chunk_index, fact_id) AS r FROM {_F} WHERE event IS NOT NULL)
         SELECT book_id, segment, md5(string_agg(event, '；' ORDER BY r) FILTER (r <= 5)) AS summary_md5, count(*) AS events FROM r GROUP BY ALL""",
+    "evidence_fragments": f"""
+        WITH r AS (SELECT fact_id, regexp_extract_all(evidence, '[“「]([^”」]+)[”」]', 1) AS q, list_transform(regexp_split_to_array(evidence, '……|…|[、,，；;。！？!?]'), lambda x: trim(x, ' ')) AS p FROM {_F} WHERE evidence IS NOT NULL),
+        o AS (SELECT fact_id, CASE WHEN len(q) > 0 THEN q ELSE p END AS f FROM r), u AS (SELECT fact_id, list_filter(f, lambda x, i: length(x) >= 2 AND list_position(f, x) = i) AS f FROM o)
+        SELECT fact_id, len(f) AS n, list_max(list_transform(f, lambda x: length(x))) AS longest, md5(array_to_string(f, '|')) AS fragments_md5 FROM u""",
+    "entity_prescan_tokens": """
+        WITH r AS (SELECT book_id, unnest(regexp_extract_all(text, '[一-鿿]{3,}')) AS r FROM documents WHERE text IS NOT NULL),
+        g AS (SELECT book_id, substring(r, i::INT, 3) AS term FROM r, unnest(range(1, length(r) - 1)) t(i) UNION ALL SELECT book_id, substring(r, i::INT, 4) FROM r, unnest(range(1, length(r) - 2)) t(i)),
+        c AS (SELECT book_id, term, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= CASE WHEN length(term) = 3 THEN 8 ELSE 5 END),
+        p AS (SELECT book_id, n AS m, unnest([left(term, 3), right(term, 3)]) AS term FROM c WHERE length(term) = 4),
+        k AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.book_id = c.book_id AND p.term = c.term AND p.m * 10 >= c.n * 8))
+        SELECT book_id, term, n, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY n DESC, length(term) DESC, term) AS place FROM k) WHERE place <= 80""",
+    "relation_edges": f"""
+        WITH f AS {_F}, p AS (SELECT DISTINCT book_id, chunk_index, character_name AS name FROM f WHERE kind = 'characters' AND character_name IS NOT NULL),
+        n AS (SELECT f.fact_id, f.book_id, p.name FROM f JOIN p USING (book_id, chunk_index) WHERE f.kind = 'relationships' AND contains(f.description, p.name))
+        SELECT a.book_id, a.name AS name_a, b.name AS name_b, count(*) AS n FROM n a JOIN n b ON a.fact_id = b.fact_id AND a.name < b.name GROUP BY ALL""",
+    "uncovered_keywords": """
+        WITH h AS (SELECT DISTINCT ON (hit_id) hit_id, cluster_id, keyword_pos FROM co_occurrence_hits WHERE keyword_pos IS NOT NULL)
+        SELECT cluster_id, count(*) AS uncovered, min(keyword_pos) AS first FROM h WHERE NOT EXISTS (SELECT 1 FROM proximity_clusters p WHERE p.cluster_id = h.cluster_id
+          AND keyword_pos >= least(window_start, window_end) AND keyword_pos < greatest(window_start, window_end) AND window_start IS NOT NULL AND window_end IS NOT NULL) GROUP BY 1""",
+    "alias_components": """
+        WITH RECURSIVE c AS (SELECT DISTINCT ON (candidate_id) * FROM heroine_candidates WHERE canonical_name IS NOT NULL AND aliases IS NOT NULL AND book_id IS NOT NULL),
+        e0 AS (SELECT book_id, trim(canonical_name, ' ') AS a, trim(unnest(aliases), ' ') AS b FROM c),
+        ok AS (SELECT n FROM (SELECT a AS n FROM e0 UNION SELECT b FROM e0) WHERE n IS NOT NULL AND length(n) BETWEEN 2 AND 20 AND NOT regexp_matches(n, '姑娘|夫人|小姐')
+               AND n NOT IN ('她', '他', '我', '你', '师姐', '师妹', '夫人', '小姐', '姑娘', '那位姑娘', '女子', '少女')),
+        e1 AS (SELECT DISTINCT book_id, a, b FROM e0 WHERE a IN (SELECT n FROM ok) AND b IN (SELECT n FROM ok) AND a <> b),
+        e AS (SELECT book_id, a, b FROM e1 UNION SELECT book_id, b, a FROM e1),
+        r AS (SELECT DISTINCT book_id, a AS n, a AS m FROM e UNION SELECT r.book_id, e.b, r.m FROM r JOIN e ON r.book_id = e.book_id AND r.n = e.a),
+        l AS (SELECT book_id, n AS name, min(m) AS label FROM r GROUP BY ALL),
+        w AS (SELECT book_id, trim(canonical_name, ' ') AS name, count(*) AS w FROM c GROUP BY ALL),
+        k AS (SELECT l.*, coalesce(w.w, 0) AS w FROM l LEFT JOIN w USING (book_id, name)),
+        b AS (SELECT book_id, label, arg_max(name, (w, (length(name) BETWEEN 2 AND 4)::INT, -length(name), name)) AS canonical FROM k GROUP BY ALL)
+        SELECT book_id, name, canonical FROM l JOIN b USING (book_id, label)""",
     "worker_blocks": """
         SELECT book_id, block::INT AS block, min(chunk_idx) AS first, max(chunk_idx) AS last, count(*) AS n FROM (SELECT book_id, chunk_idx, ntile(4) OVER (PARTITION BY book_id ORDER BY chunk_idx) AS block FROM documents) GROUP BY ALL""",
 }

@@ -38,3 +38,25 @@ def test_ngrams_and_lists(spark):
     assert one(spark, X.clip(F.col("a"), 3), a="abcdef") == "ab…"
     assert one(spark, X.bounded_score(F.col("a")), a="x") == 0.0
     assert one(spark, X.bounded_score(F.col("a")), a="12") == 10.0
+
+
+def test_name_lists():
+    from palimpsest.functions.names import split_names_of, split_top_level
+
+    assert split_names_of("张三、李四、王五") == ["张三", "李四", "王五"]
+    assert split_names_of("张三,李四") == ["张三", "李四"]
+    assert split_names_of("Smith, John") == ["Smith, John"]
+    assert split_names_of("群臣、百官") == split_names_of(None) == split_names_of(" ") == []
+    assert split_names_of("张三、、李四") == ["张三", "李四"]
+    assert split_top_level("张三（又名、李四）、王五", "、") == ["张三（又名、李四）", "王五"]
+
+
+def test_groups_and_similarity(spark):
+    from palimpsest.functions.names import is_group, similarity
+
+    rows = [("群臣、百官", True), ("将领、士兵等人", True), ("", True), ("某人", True), ("张三", False)]
+    df = spark.createDataFrame([(a,) for a, _ in rows], "a string")
+    assert [r.x for r in df.select(is_group(F.col("a")).alias("x")).collect()] == [b for _, b in rows]
+    assert one(spark, similarity(F.col("a"), F.col("b")), a="abc", b="abc") == 1.0
+    assert one(spark, similarity(F.col("a"), F.col("b")), a="", b="abc") == 0.0
+    assert 0.5 < one(spark, similarity(F.col("a"), F.col("b")), a="abcd", b="abce") < 1
