@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,10 +40,18 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return written
 
 
-def release(*tables: DataFrame) -> None:
-    """Delete materialised tables that nothing reads any more."""
+def release(*tables: DataFrame, shuffles: bool = False) -> None:
+    """Delete materialised tables that nothing reads any more.
+
+    ``shuffles`` also has the driver collect its garbage, upon which Spark deletes the shuffle files of finished
+    steps; otherwise they stay on the executors' disks until the driver's heap happens to fill.
+    """
     for df in tables:
         jvm = df.sparkSession.sparkContext._jvm
+        if shuffles:
+            gc.collect()
+            jvm.System.gc()
+            shuffles = False
         path = jvm.org.apache.hadoop.fs.Path(df.written_path)
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
