@@ -155,4 +155,22 @@ QUERIES = {
     "p10_segments": p10_segments,
     "p10_found": p10_found,
 }
-SQL: dict[str, str] = {}
+_CUT = "CASE WHEN e - {s} <= 1000 THEN e ELSE {s} + coalesce(nullif(length(regexp_extract(substring(text, {s} + 1, 1000), '(?s)^.{{500,}}[。！？\\n]')), 0), 1000) END"
+
+SQL = {
+    "p4_found": f"""
+        WITH RECURSIVE h AS (SELECT cluster_id, min(chunk_idx) AS chunk_idx FROM co_occurrence_hits WHERE chunk_idx IS NOT NULL GROUP BY 1),
+        w AS (SELECT DISTINCT cluster_id, greatest(least(window_start, window_end), 0) AS s, least(greatest(window_start, window_end), length(text)) AS e, text
+              FROM proximity_clusters JOIN h USING (cluster_id) JOIN documents USING (book_id, chunk_idx) WHERE window_start IS NOT NULL AND window_end IS NOT NULL AND text IS NOT NULL),
+        p AS (SELECT cluster_id, 1 AS no, s, {_CUT.format(s="s")} AS c, e, text FROM w WHERE e - s > 1000
+              UNION ALL SELECT cluster_id, no + 1, c - 100, {_CUT.format(s="(c - 100)")}, e, text FROM p WHERE c < e)
+        SELECT cluster_id, no::INT AS piece_no, s::INT AS piece_start, c::INT AS piece_end FROM p""",
+    "p7_found": """
+        WITH RECURSIVE n AS (SELECT DISTINCT record_id, book_id, unnest(list_append(coalesce(aliases, []), main_name)) AS name FROM alias_records WHERE book_id IS NOT NULL),
+        k AS (SELECT * FROM n WHERE regexp_matches(name, '[^\\s\\p{Z}]')),
+        t AS (SELECT book_id, name, min(record_id) AS least FROM k GROUP BY ALL),
+        d AS (SELECT DISTINCT record_id AS a, least AS b FROM k JOIN t USING (book_id, name) WHERE record_id <> least),
+        e AS (SELECT a, b FROM d UNION SELECT b, a FROM d),
+        r AS (SELECT DISTINCT a AS x, a AS m FROM e UNION SELECT e.b, r.m FROM r JOIN e ON r.x = e.a)
+        SELECT x AS record_id, min(m) AS group_id FROM r GROUP BY x""",
+}
