@@ -46,7 +46,6 @@ SAMPLE, WORDS = 400, 8000
 LONGEST_NGRAM = 4
 #: A sentence leaves the main language if another one is better by this many nats.
 MARGIN = 8.0
-DAMP = 0.35
 
 
 def label_language(label: Column) -> Column:
@@ -178,8 +177,9 @@ def decide(found: list) -> tuple[int, list[int]]:
     return main, [b if row[b] - row[main] >= MARGIN else main for b, (*_, row) in zip(best, found, strict=True)]
 
 
-def confidence(row: np.ndarray, chosen: int) -> float:
-    x = np.exp(DAMP * (row - row.max()))
+def confidence(row: np.ndarray, chosen: int, chars: int) -> float:
+    """Posterior of a language; the evidence counts like its square root, as words of one text aren't independent."""
+    x = np.exp((row - row.max()) / max(1, chars) ** 0.5)
     return float(x[chosen] / x.sum())
 
 
@@ -269,8 +269,8 @@ def _languages(found: list) -> list[tuple]:
     out = []
     for lang in sorted(set(each), key=lambda x: x != main):
         own = [f for f, x in zip(found, each, strict=True) if x == lang]
-        row = sum(f[3] for f in own) / max(1.0, len(own) ** 0.5)
-        out.append((LANGUAGES[lang], lang == main, sum(f[2] for f in own), sum(f[1] - f[0] for f in own), confidence(row, lang)))
+        chars = sum(f[1] - f[0] for f in own)
+        out.append((LANGUAGES[lang], lang == main, sum(f[2] for f in own), chars, confidence(sum(f[3] for f in own), lang, chars)))
     return out
 
 
@@ -282,4 +282,4 @@ def _segments(found: list) -> list[tuple]:
             out[-1][1], out[-1][3] = e, out[-1][3] + row
         else:
             out.append([s, e, lang, row])
-    return [(i, s, e, LANGUAGES[lang], confidence(row, lang)) for i, (s, e, lang, row) in enumerate(out, 1)]
+    return [(i, s, e, LANGUAGES[lang], confidence(row, lang, e - s)) for i, (s, e, lang, row) in enumerate(out, 1)]

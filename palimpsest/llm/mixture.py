@@ -81,9 +81,9 @@ def mix(docs: DataFrame, key: str, text: str, source: str, targets: DataFrame, t
     sized = materialize(sized.filter("n_tokens > 0").join(F.broadcast(aims.select("source")), "source", "left_semi").withColumn("__random", F.xxhash64(F.lit(seed), F.col(key))), "sized")
     sizes = sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("documents"))
     plan = aims.join(sizes, "source", "left").na.fill(0, ["tokens", "documents"])
-    reachable = plan.filter("tokens > 0").agg(F.min(F.col("tokens") * F.col("max_repeats") / F.col("target_share")).alias("total"))
-    plan = plan.crossJoin(F.broadcast(reachable)) if total is None else plan.withColumn("total", F.lit(float(total)))
-    plan = plan.withColumn("budget", F.least(F.floor(F.col("total") * F.col("target_share") + 0.5), F.col("tokens") * F.col("max_repeats")).cast("bigint"))
+    if total is None:
+        total = plan.filter("tokens > 0").agg(F.min(F.col("tokens") * F.col("max_repeats") / F.col("target_share"))).first()[0] or 0
+    plan = plan.withColumn("budget", F.least(F.floor(F.lit(float(total)) * F.col("target_share") + 0.5), F.col("tokens") * F.col("max_repeats")).cast("bigint"))
     plan = plan.withColumn("epochs", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("int"))
     plan = materialize(plan.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens")), "plan")
     summed = running_sums(sized, "source", ["__random", key], "n_tokens").join(F.broadcast(plan.select("source", "epochs", "rest", "max_repeats")), "source")
@@ -92,11 +92,12 @@ def mix(docs: DataFrame, key: str, text: str, source: str, targets: DataFrame, t
     mixture = summed.withColumn("copies", F.col("epochs") + partial.cast("int")).filter("copies > 0").select(key, "source", "n_tokens", "copies")
     mixture = materialize(mixture, "mixture")
     used = mixture.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("used_tokens"), F.count("*").alias("used_documents"), F.max("copies").alias("most_copies"))
-    everything = mixture.agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("all_tokens"))
-    report = plan.join(used, "source", "left").crossJoin(F.broadcast(everything)).select(
+    used = materialize(used, "used")
+    everything = used.agg(F.sum("used_tokens")).first()[0] or 1
+    report = plan.join(used, "source", "left").select(
         "source",
         "target_share",
-        F.coalesce(F.col("used_tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"),
+        F.coalesce(F.col("used_tokens") / F.lit(everything), F.lit(0.0)).alias("actual_share"),
         "max_repeats",
         F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
         "tokens",

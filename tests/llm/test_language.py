@@ -52,4 +52,4 @@ def test_backoff_to_shorter_ngrams():
     assert not model.unseen("☃").any()
     (found,) = analyse(model, ["maisonnette et une maisonnettes dans la maisonnette."])
     assert decide(found)[0] == 3
-    assert confidence(found[0][3], 3) > 0.5
+    assert confidence(found[0][3], 3, 40) > 0.5
