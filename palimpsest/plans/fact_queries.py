@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.jsontext import lenient_json
 from palimpsest.functions.names import fragments, split_names
-from palimpsest.functions.text import core_name, jaccard, ngram_set, ngrams, normalize_person, text_hash
+from palimpsest.functions.packs import NOVEL
+from palimpsest.functions.text import core_name, count_present, jaccard, ngram_set, ngrams, normalize_newlines, normalize_person, strip, text_hash
 from palimpsest.operators import anchors, entities, joins, records, states
 from palimpsest.sources import table
 
@@ -320,13 +321,39 @@ def uncovered_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.join(inside, "hit_id", "left_anti").groupBy("cluster_id").agg(F.count("*").alias("uncovered"), F.min("keyword_pos").alias("first"))
 
 
+def outline_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapter titles of each book; of more than ten, the first and the last five."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null").select("book_id", "chunk_idx", F.posexplode(F.split(normalize_newlines(F.col("text")), "\n", -1)).alias("no", "line"))
+    titles = docs.select("book_id", "chunk_idx", "no", strip(F.col("line")).alias("title")).filter(F.col("title").rlike(f"^{NOVEL.heading}"))
+    w = Window.partitionBy("book_id")
+    ranked = titles.select("*", F.row_number().over(w.orderBy("chunk_idx", "no")).alias("chapter"), F.count("*").over(w).alias("n"))
+    return ranked.filter("n <= 10 or chapter <= 5 or chapter > n - 5").select("book_id", "chapter", "chunk_idx", "title")
+
+
+def book_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 25 distinct entries of each book over four kinds of facts, in order (a capped report)."""
+    rows = _facts(spark, sf_dir, "book_id", "chunk_index", "kind", "event", "description").filter("kind in ('events', 'foreshadowing', 'relationships', 'risk_facts')")
+    rows = rows.select("book_id", "chunk_index", "kind", F.md5(F.coalesce("event", "description", F.lit(""))).alias("entry_md5")).distinct()
+    w = Window.partitionBy("book_id").orderBy("chunk_index", "kind", "entry_md5")
+    return rows.withColumn("place", F.row_number().over(w)).filter("place <= 25")
+
+
+def key_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 15 strongest events of each book: points for confidence, full evidence and dense words, three words at most."""
+    rows = _facts(spark, sf_dir, "book_id", "chunk_index", "event", "evidence", "confidence").filter("event is not null")
+    points = F.when(F.col("confidence") == "high", 3).when(F.col("confidence") == "medium", 1).otherwise(0) + (F.coalesce(F.length("evidence"), F.lit(0)) >= 60).cast("int") + F.least(F.lit(3), count_present(F.col("event"), NOVEL.dense)) * 2
+    scored = rows.select("book_id", "fact_id", "chunk_index", points.alias("points"))
+    w = Window.partitionBy("book_id").orderBy(F.desc("points"), "chunk_index", "fact_id")
+    return scored.withColumn("place", F.row_number().over(w)).filter("place <= 15")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         keep_first_dedup, keep_last_n, checkpoint_delta_merge, knowledge_base_counts, fact_confidence_levels, valid_facts, contradiction_pairs, temporal_match_candidates, temporal_match_greedy,
         foreshadow_stats, neighbour_chunk_context, manifest_diff_reuse, manifest_diff_rescan, chunk_result_reuse, cooccurrence_proximity, cluster_overlaps, dimension_sets, partner_tristate_merge,
         coverage_two_way, verdict_split, alias_components, typo_name_pairs, tfidf_cosine_pairs, json_lenient_parse, evidence_anchor, rolling_context_state, scan_memory_state,
-        character_accumulation, segment_summaries, worker_blocks, evidence_fragments, name_list_split, entity_prescan_tokens, relation_edges, uncovered_keywords,
+        character_accumulation, segment_summaries, worker_blocks, evidence_fragments, name_list_split, entity_prescan_tokens, relation_edges, uncovered_keywords, outline_ends, book_timeline, key_scenes,
     )
 }
 
@@ -449,6 +476,20 @@ SQL = {
         k AS (SELECT l.*, coalesce(w.w, 0) AS w FROM l LEFT JOIN w USING (book_id, name)),
         b AS (SELECT book_id, label, arg_max(name, (w, (length(name) BETWEEN 2 AND 4)::INT, -length(name), name)) AS canonical FROM k GROUP BY ALL)
         SELECT book_id, name, canonical FROM l JOIN b USING (book_id, label)""",
+    "outline_ends": f"""
+        WITH l AS (SELECT book_id, chunk_idx, unnest(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10))) AS line,
+                     generate_subscripts(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)), 1) AS no FROM documents WHERE text IS NOT NULL),
+        t AS (SELECT book_id, chunk_idx, no, regexp_replace(line, '^[ \\t\u3000]+|[ \\t\u3000]+$', '', 'g') AS title FROM l),
+        r AS (SELECT *, (row_number() OVER (PARTITION BY book_id ORDER BY chunk_idx, no))::INT AS chapter, count(*) OVER (PARTITION BY book_id) AS n FROM t WHERE regexp_matches(title, '^{NOVEL.heading}'))
+        SELECT book_id, chapter, chunk_idx, title FROM r WHERE n <= 10 OR chapter <= 5 OR chapter > n - 5""",
+    "book_timeline": f"""
+        WITH r AS (SELECT DISTINCT book_id, chunk_index, kind, md5(coalesce(event, description, '')) AS entry_md5 FROM {_F} WHERE kind IN ('events', 'foreshadowing', 'relationships', 'risk_facts'))
+        SELECT *, (row_number() OVER (PARTITION BY book_id ORDER BY chunk_index, kind, entry_md5))::INT AS place FROM r QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY chunk_index, kind, entry_md5) <= 25""",
+    "key_scenes": f"""
+        WITH r AS (SELECT book_id, fact_id, chunk_index, (CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 1 ELSE 0 END + (coalesce(length(evidence), 0) >= 60)::INT
+            + least(3, {" + ".join(f"contains(event, '{w}')::INT" for w in NOVEL.dense)}) * 2)::INT AS points FROM {_F} WHERE event IS NOT NULL),
+        p AS (SELECT *, (row_number() OVER (PARTITION BY book_id ORDER BY points DESC, chunk_index, fact_id))::INT AS place FROM r)
+        SELECT * FROM p WHERE place <= 15""",
     "worker_blocks": """
         SELECT book_id, block::INT AS block, min(chunk_idx) AS first, max(chunk_idx) AS last, count(*) AS n FROM (SELECT book_id, chunk_idx, ntile(4) OVER (PARTITION BY book_id ORDER BY chunk_idx) AS block FROM documents) GROUP BY ALL""",
 }
