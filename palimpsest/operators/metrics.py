@@ -173,16 +173,12 @@ def noise_flags(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def genre_scores(df: DataFrame, key: str, text: str, pack: LanguagePack = NOVEL, extra: int = 3) -> DataFrame:
     """(key, genre, score): a word's weight once, plus up to ``extra - 1`` more for heavy words that recur."""
-    t = F.lower("__t")
-
-    def score(words: dict[str, int]) -> Column:
-        total = F.lit(0)
-        for word, weight in words.items():
-            n = occurrences(t, word)
-            more = F.when(n >= 3, F.least(F.lit(extra), n - 1)).otherwise(0) if weight >= 3 else F.lit(0)
-            total = total + F.when(n > 0, F.lit(weight) + more).otherwise(0)
-        return total
-
-    scores = F.array(*(F.struct(F.lit(g).alias("genre"), score(words).alias("score")) for g, words in pack.genres.items()))
-    rows = readable(df, text).select(key, F.explode(F.filter(scores, lambda s: s.score > 0)).alias("s"))
-    return rows.select(key, "s.genre", "s.score")
+    lexicon = [(g, w, weight) for g, words in pack.genres.items() for w, weight in words.items()]
+    entries = F.array(*(F.struct(F.lit(g).alias("genre"), F.lit(w).alias("word"), F.lit(weight).alias("weight")) for g, w, weight in lexicon))
+    # A row per text and word stays inside its task: only keys and scores go on.
+    rows = readable(df, text).select(key, F.lower("__t").alias("l"), F.explode(entries).alias("e"))
+    rows = rows.filter(F.contains("l", "e.word"))
+    n = (F.length("l") - F.length(F.replace("l", "e.word", F.lit("")))) / F.length("e.word")
+    rows = rows.select(key, "e.genre", "e.weight", n.cast("int").alias("n"))
+    more = F.when((F.col("weight") >= 3) & (F.col("n") >= 3), F.least(F.lit(extra), F.col("n") - 1)).otherwise(0)
+    return rows.groupBy(key, "genre").agg(F.sum(F.col("weight") + more).alias("score"))
