@@ -12,8 +12,9 @@
 5. Verified links are closed to groups by star rewrites (``components``).
 
 A run of more than ``hot`` texts with the same shingle isn't expanded to pairs. Its texts are joined on two such
-shingles at once; where even a pair of shingles is hot, its texts are many copies of one, and each is verified against the
-smallest and the next one only.
+shingles at once. Where even a pair of shingles is hot, each text is first verified against the smallest and the next
+one, which settles copies of one text; then all pairs of its texts that no link has joined yet are compared, block by
+block (``_rest``).
 
 Defined results: NULL and blank texts and texts without any letter or digit belong to no group; a repeated id counts
 once; exact copies are always one group; long texts are processed whole.
@@ -219,20 +220,25 @@ def _runs(share: float, hot: int, similarity: float):
     return read
 
 
-def _candidates(active: DataFrame, share: float, hot: int, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
-    """Distinct pairs of texts that share enough of their prefixes, and the tables they are read from."""
+def _candidates(active: DataFrame, share: float, hot: int, similarity: float) -> tuple[DataFrame, DataFrame | None, list[DataFrame], list[DataFrame]]:
+    """Distinct pairs of texts that share enough of their prefixes, and the texts of hot pairs of shingles.
+
+    The tables that the pairs are read from, and those that both are read from, come with them.
+    """
     postings = active.select(F.explode("prefix").alias("fp"), "id", "n", "size")
     found = postings.repartition("fp").sortWithinPartitions("fp").mapInArrow(_runs(share, hot, similarity), "a bigint, b bigint, least int, n int")
     counted = found.groupBy("a", "b", "least").agg(F.count("*").alias("c"), F.max("n").alias("n"))
     counted = materialize(counted.filter("least = 0 or c >= least"), "counted")
     lists = counted.filter("least = 0").select(F.col("b").alias("fp"), F.col("a").alias("id"), "n")
     if lists.isEmpty():
-        return counted.select("a", "b"), [counted]
+        return counted.select("a", "b"), None, [counted], []
     # A pair that shares hot shingles may have only one in common among the others: those pairs are taken again.
     usual = found.filter("least > 0").select("a", "b").distinct()
     hot_ids = lists.groupBy("id", "n").agg(F.sort_array(F.collect_set("fp")).alias("fps"))
     twos = "flatten(transform(fps, (x, i) -> transform(slice(fps, i + 2, size(fps)), y -> struct(x as fp, y as fq))))"
-    one = f"if(size(fps) = 1, array(struct(fps[0] as fp, fps[0] as fq)), {twos})"
+    ones = "transform(fps, x -> struct(x as fp, x as fq))"
+    small = f"ceil({share} * n - 1e-9) < {SHARED}"  # one shared shingle is enough
+    one = f"case when size(fps) = 1 then {ones} when {small} then concat({ones}, {twos}) else {twos} end"
     double = hot_ids.select("id", "n", F.explode(F.expr(one)).alias("p")).select("p.fp", "p.fq", "id", "n")
     sizes = double.groupBy("fp", "fq").agg(F.count("*").alias("df"), F.min("id").alias("least")).filter("df > 1")
     double = materialize(double.join(sizes, ["fp", "fq"]), "double")
@@ -244,7 +250,75 @@ def _candidates(active: DataFrame, share: float, hot: int, similarity: float) ->
     left, right = (double.filter(F.col("df") <= hot).select("fp", "fq", F.col("id").alias(i), F.col("n").alias(f"n{i}")) for i in "ab")
     size = (F.col("na") >= share * F.col("nb")) & (F.col("nb") >= share * F.col("na"))
     few = left.join(right, ["fp", "fq"]).filter((F.col("a") < F.col("b")) & size).select("a", "b")
-    return usual.unionByName(few).unionByName(stars).unionByName(chains).distinct(), [counted, double]
+    rest = many.filter((F.col("fp") != F.col("fq")) | F.expr(small)).select("fp", "fq", "id", "df")
+    return usual.unionByName(few).unionByName(stars).unionByName(chains).distinct(), rest, [counted], [double]
+
+
+def _unjoined(label: np.ndarray, block: np.ndarray, inside: bool, texts: list[str], similarity: float) -> list[tuple[int, int]]:
+    """Links between texts of different labels that reach the similarity, enough to join all that belong together.
+
+    Only pairs within one block are compared if ``inside``, else only pairs across the two blocks.
+    """
+    tokens = tokenize(texts)
+    h, first = shingles(tokens, 2)
+    owner = tokens.doc[first]
+    width = 256
+    # Counts by hash bucket: the sum of the lesser counts is never below the true overlap.
+    cells = owner * width + (h % np.uint64(width)).astype(np.int64)
+    counts = np.bincount(cells, minlength=len(texts) * width).reshape(-1, width).astype(np.int32)
+    size = counts.sum(1)
+    label, links = label.copy(), []
+    for i in range(len(texts) - 1):
+        later = np.arange(i + 1, len(texts))
+        later = later[(label[later] != label[i]) & ((block[later] == block[i]) == inside)]
+        longer = np.maximum(size[later], size[i])
+        later = later[np.minimum(size[later], size[i]) >= similarity * longer]
+        longer = np.maximum(size[later], size[i])
+        later = later[np.minimum(counts[later], counts[i]).sum(1) >= similarity * longer]
+        if len(later):
+            good = later[overlap([texts[i]] * len(later), [texts[j] for j in later]) >= similarity]
+            links += [(i, int(j)) for j in good]
+            label[np.isin(label, label[good])] = label[i]
+    return links
+
+
+def _rest(many: DataFrame, links: DataFrame, rows: DataFrame, hot: int, similarity: float, prepare: Callable | None) -> DataFrame:
+    """Verified links among the texts of hot pairs of shingles that ``links`` leave in different groups.
+
+    Every two texts of a hot pair are either in one group already or compared, so that no true pair is missing from
+    the closure. Blocks of about ``hot / 2`` texts are compared two by two; pairs of shingles with the same texts count
+    once.
+    """
+    groups = connected_components(links)
+    labels = many.select("id").distinct().join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("label"))
+    named = many.join(labels, "id")
+    same = named.groupBy("fp", "fq").agg(
+        F.count("*").alias("df"),
+        F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"),
+        (F.min("label") < F.max("label")).alias("open"),
+    )
+    chosen = same.filter("open").groupBy("df", "sum").agg(F.min(F.struct("fp", "fq")).alias("p")).select("p.fp", "p.fq")
+    texts = materialize(named.join(chosen, ["fp", "fq"]), "open")
+    if texts.isEmpty():
+        release(texts)
+        return links.limit(0)
+    blocks = F.ceil(F.col("df") / F.lit(max(1, hot // 2))).cast("int")
+    placed = texts.select("fp", "fq", "id", "label", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    other = F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")
+    placed = placed.select("fp", "fq", "id", "label", "block", other)
+    cells = placed.select("fp", "fq", "id", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    wanted = materialize(rows.join(texts.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        ids, label, block = (table[c].to_numpy() for c in ("id", "label", "block"))
+        inside = table["i"][0].as_py() == table["j"][0].as_py()
+        found = _unjoined(label, block, inside, _prepared(table["text"].to_pylist(), prepare), similarity)
+        a, b = ([ids[x[k]] for x in found] for k in range(2))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    full = cells.join(wanted, "id")
+    return full.groupBy("fp", "fq", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(
@@ -267,10 +341,13 @@ def near_duplicates(
     inside = materialize(prefixed.select("alike", "n", "id").join(alike, ["alike", "n"]).filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")), "inside")
     led = materialize(_verify(inside, _texts_of(inside, rows), similarity, prepare), "led")
     active = prefixed.join(led.select(F.col("b").alias("id")), "id", "left_anti")
-    candidates, read = _candidates(active, share, hot, similarity)
+    candidates, many, read, both = _candidates(active, share, hot, similarity)
     pairs = materialize(candidates, "pairs")
     release(prefixed, *read, shuffles=True)
     links = materialize(_verify(pairs, _texts_of(pairs, rows), similarity, prepare).unionByName(led), "links")
+    if many is not None:
+        links = links.unionByName(materialize(_rest(many, links, rows, hot, similarity, prepare), "rest"))
+        release(*both)
     groups = connected_components(links)
     # Only groups of several texts and texts with copies are named; all others have no near-duplicate.
     named = firsts.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").filter("component is not null or copies > 1")

@@ -61,6 +61,23 @@ def test_hot_shingles_lose_no_copy(spark):
     assert got == {0}
 
 
+def test_hot_phrase_loses_no_pair(spark):
+    """Different texts with one long phrase, whose retellings differ in size from the next text and the smallest one."""
+    rnd = random.Random(5)
+    phrase = [rnd.choice(WORDS) for _ in range(30)]
+    rows = []
+    for g in range(12):
+        own = [f"{rnd.choice(WORDS)}{rnd.randrange(1000)}" for _ in range(30)]
+        for copy in range(2):
+            words = own.copy()
+            for i in range(2 + copy, 30, 5):  # hardly a run of eight tokens outside the phrase is left
+                words[i] = f"edit{g}x{copy}x{i}"
+            rows.append((g + 100 * copy, " ".join(phrase + words)))
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = {r.id: r.group_id for r in near_duplicates(df, "id", "text", hot=4).collect()}
+    assert got == closure([(*r, "x") for r in rows])
+
+
 def test_member_pairs_and_empty(spark):
     df = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)], "id long, group_id long")
     assert {tuple(r) for r in member_pairs(df, "a", "b").collect()} == {(1, 2), (1, 3), (2, 3), (4, 5)}
