@@ -127,8 +127,11 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, share: float) -> DataFrame:
     return docs.select("id", "size", "fps").mapInArrow(cut, "id bigint, size int, n int, alike bigint, prefix array<bigint>")
 
 
-def overlap(left: list[str], right: list[str]) -> np.ndarray:
-    """Shared token pairs of two texts as a fraction of the longer one's, by multisets; 1 for equal single tokens."""
+def overlap(left: list[str], right: list[str], of_left: bool = False) -> np.ndarray:
+    """Shared token pairs of two texts as a fraction of the longer one's, by multisets; 1 for equal single tokens.
+
+    With ``of_left`` the fraction is of the left text's.
+    """
     n = len(left)
     number = {t: i for i, t in enumerate(dict.fromkeys([*left, *right]))}  # each text is read once
     tokens = tokenize(list(number))
@@ -153,7 +156,7 @@ def overlap(left: list[str], right: list[str]) -> np.ndarray:
     rights = np.add.reduceat(side.astype(np.int64), runs)
     both = np.minimum(rights, np.diff(np.append(runs, len(h))) - rights)
     common = np.bincount(pair[runs], weights=both, minlength=n)
-    return common / np.maximum(1, np.maximum(counts[:n], counts[n:]))
+    return common / np.maximum(1, counts[:n] if of_left else np.maximum(counts[:n], counts[n:]))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, similarity: float, prepare: Callable | None) -> DataFrame:

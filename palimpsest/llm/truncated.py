@@ -1,9 +1,10 @@
 """Values cut off by length limits or in transfer, and how often each source cuts.
 
-Near-copies are found by min-hash banding: values that agree in a band of hashes are compared with the longest one of
-the band only, which is linear in the number of values however large a band gets. The end of a value is aligned
-within its longer copy: if the copy goes on inside the sentence, the value is cut; if the copy has a sentence end
-there, it is whole. Values that no copy decides are scored by the terminality of their last clause: a logistic model
+Near-copies are found by min-hash banding over whole values and over their heads, which a strongly cut value keeps.
+Values that agree in a band are compared with its longest member, and those that it doesn't decide with further members
+in rounds, until each value is decided or has met all longer members of its bands. Only a text that holds most of the
+value's wording counts as its copy. The end of a value is aligned within its longer copy: if the copy goes on inside
+the sentence, the value is cut; if the copy has a sentence end there, it is whole. Values that no copy decides are scored by the terminality of their last clause: a logistic model
 of how sentences end, fit on a bounded sample of the values themselves, whose inner sentence ends are the positive
 examples and whose inner clause ends and random places are the negative ones. Closing marks at the very end are
 ignored, as a mark set after a cut does not heal it.
@@ -16,18 +17,23 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.neardup import _prepared, token_keys
+from palimpsest.llm.neardup import SIMILARITY, _prepared, overlap, token_keys
 from palimpsest.llm.tokens import fingerprints, scramble, tokenize
-from palimpsest.plans.shared import materialize
+from palimpsest.plans.shared import materialize, release
 
 #: Tokens of a shingle, bands and hashes of a band.
 K, BANDS, ROWS = 6, 12, 3
+#: Bands over the first shingles of a value alone, and how many shingles these are.
+HEADS, HEAD = 2, 6
+#: Each round of comparisons goes this many times as far down the bands as the one before.
+STEP = 8
 #: Values in the sample that the terminality model is fit on; it doesn't grow with the data.
 SAMPLE = 20_000
 DIMENSIONS = 1 << 20
@@ -39,8 +45,8 @@ _CLAUSE = re.compile(f"[^{re.escape(STRONG + WEAK)}]+")
 _TAIL = re.compile(r"[\W_]+$")
 
 
-def banded_pairs(texts: DataFrame, prepare: Callable | None) -> DataFrame:
-    """(id, longer): each text with the longest text of each of its bands."""
+def ranked_bands(texts: DataFrame, prepare: Callable | None) -> DataFrame:
+    """(band, id, rank): the members of each band of two or more, from the longest one, which has rank 0."""
 
     def bands(batches):
         for batch in batches:
@@ -49,36 +55,45 @@ def banded_pairs(texts: DataFrame, prepare: Callable | None) -> DataFrame:
             doc = tokens.doc[first]
             starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, int)
             size = np.bincount(tokens.doc, minlength=tokens.docs)[doc[starts]].astype(np.int32)
+            head = np.arange(len(doc)) - np.repeat(starts, np.diff(np.append(starts, len(doc)))) < HEAD if len(doc) else np.zeros(0, bool)
             keys = []
             with np.errstate(over="ignore"):
-                for b in range(BANDS):
+                for b in range(BANDS + HEADS):
                     key = np.full(len(starts), b, np.uint64)
-                    for r in range(ROWS):
+                    for r in range(ROWS if b < BANDS else 1):
                         salt = scramble(np.array([b * ROWS + r + 1], np.uint64))
-                        least = np.minimum.reduceat(scramble(fps.view(np.uint64) ^ salt), starts) if len(starts) else key
+                        h = scramble(fps.view(np.uint64) ^ salt)
+                        if b >= BANDS:
+                            h = np.where(head, h, ~np.uint64(0))
+                        least = np.minimum.reduceat(h, starts) if len(starts) else key
                         key = scramble(key * np.uint64(31) + least)
                     keys.append(key.view(np.int64))
-            ids = np.tile(batch.column(0).to_numpy()[doc[starts]], BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(size, BANDS)), pa.array(ids)], ["band", "size", "id"])
+            ids = np.tile(batch.column(0).to_numpy()[doc[starts]], BANDS + HEADS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(size, BANDS + HEADS)), pa.array(ids)], ["band", "size", "id"])
 
-    def longest(batches):
-        last = None
+    def rank(batches):
+        last, held = None, None  # band and rank of the row before; a first member of which no second one is known yet
         for batch in batches:
             band, ids = (batch.column(i).to_numpy() for i in (0, 2))
             if not len(band):
                 continue
+            if held is not None:
+                band, ids, last = np.append(held[0], band), np.append(held[1], ids), None
             new = np.concatenate(([last is None or band[0] != last[0]], band[1:] != band[:-1]))
-            head = np.maximum.accumulate(np.where(new, np.arange(len(band)), -1))
-            first = np.where(head < 0, last[1] if last else 0, ids[np.maximum(head, 0)])
-            last = (band[-1], first[-1])
-            other = first != ids
-            yield pa.RecordBatch.from_arrays([pa.array(ids[other]), pa.array(first[other])], ["id", "longer"])
+            place = np.arange(len(band))
+            start = np.maximum.accumulate(np.where(new, place, -1))
+            ranks = np.where(start >= 0, place - start, place + 1 + (last[1] if last else 0))
+            kept = (ranks > 0) | np.append(~new[1:], False)
+            last = (band[-1], int(ranks[-1]))
+            held = (band[-1], ids[-1]) if ranks[-1] == 0 else None
+            yield pa.RecordBatch.from_arrays([pa.array(band[kept]), pa.array(ids[kept]), pa.array(ranks[kept].astype(np.int64))], ["band", "id", "rank"])
 
     rows = texts.select("id", "text").mapInArrow(bands, "band bigint, size int, id bigint")
     runs = rows.repartition("band").sortWithinPartitions("band", F.desc("size"), "id")
-    return runs.mapInArrow(longest, "id bigint, longer bigint").distinct()
+    return runs.mapInArrow(rank, "band bigint, id bigint, rank bigint")
 
 
+@lru_cache(maxsize=64)
 def _letters(text: str) -> tuple[str, list[int]]:
     low = text.lower() if len(text.lower()) == len(text) else text
     at = [i for i, c in enumerate(low) if c.isalnum()]
@@ -87,8 +102,11 @@ def _letters(text: str) -> tuple[str, list[int]]:
 
 def ends_early(value: str, copy: str) -> int:
     """1 if the copy goes on inside the sentence where the value ends, -1 if a sentence ends there, 0 if undecided."""
+    # Most pairs end here: a last part of nine letters that the copy lacks settles both sizes.
     a, _ = _letters(value)
     b, at = _letters(copy)
+    if a[-9:] not in b:
+        return 0
     for size in (14, 9):
         tail = a[-size:]
         if len(tail) < min(size, 6):
@@ -110,16 +128,44 @@ def ends_early(value: str, copy: str) -> int:
 
 
 def _votes(pairs: DataFrame, texts: DataFrame, prepare: Callable | None) -> DataFrame:
+    """(id, most, least) of the votes of the longer texts that hold most of the value's token pairs."""
+
     def align(batches):
         for batch in batches:
             values, copies = (_prepared(batch.column(i).to_pylist(), prepare) for i in (1, 2))
-            votes = [ends_early(v, c) for v, c in zip(values, copies, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.int32())], ["id", "vote"])
+            votes = np.array([ends_early(v, c) for v, c in zip(values, copies, strict=True)], np.int32)
+            some = np.flatnonzero(votes)
+            holds = overlap([values[i] for i in some], [copies[i] for i in some], of_left=True) >= SIMILARITY
+            some = some[holds]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.array(votes[some])], ["id", "vote"])
 
     copies = texts.select(F.col("id").alias("longer"), F.col("text").alias("copy"))
     joined = pairs.join(texts.select("id", "text"), "id").join(copies, "longer").select("id", "text", "copy")
-    votes = joined.mapInArrow(align, "id bigint, vote int").filter("vote <> 0").groupBy("id")
-    return votes.agg(F.max("vote").alias("most"), F.min("vote").alias("least")).filter("most = least").select("id", F.col("most").alias("vote"))
+    return joined.mapInArrow(align, "id bigint, vote int").groupBy("id").agg(F.max("vote").alias("most"), F.min("vote").alias("least"))
+
+
+def _decided(texts: DataFrame, prepare: Callable | None) -> DataFrame:
+    """(id, vote) of the values whose copies agree, from rounds down the bands that end when no undecided value is left."""
+    ranked = materialize(ranked_bands(texts, prepare), "ranked")
+    low, high, votes = 0, 1, None
+    while True:
+        open_rows = ranked.filter(F.col("rank") > low)
+        if votes is not None:
+            open_rows = open_rows.join(votes.select("id"), "id", "left_anti")
+        longer = ranked.filter((F.col("rank") >= low) & (F.col("rank") < high)).select("band", F.col("id").alias("longer"), F.col("rank").alias("above"))
+        met = open_rows.join(longer, "band").filter("above < rank and id <> longer")
+        pairs = materialize(met.select("id", "longer").distinct(), "pairs")
+        if pairs.isEmpty():
+            release(pairs)
+            break
+        found = materialize(_votes(pairs, texts, prepare), "votes")
+        votes = found if votes is None else votes.unionByName(found)
+        release(pairs)
+        low, high = high, high * STEP
+    release(ranked, shuffles=True)
+    if votes is None:
+        return texts.limit(0).select("id", F.lit(0).alias("vote"))
+    return votes.filter("most = least").select("id", F.col("most").alias("vote"))
 
 
 class Terminality:
@@ -232,7 +278,7 @@ def find_cut(df: DataFrame, key: str, text: str, prepare: Callable | None = None
     firsts = members.groupBy("same").agg(F.min("id").alias("id"))
     texts = materialize(rows.join(firsts, "id").dropDuplicates(["id"]), "texts")
     number = texts.count()
-    votes = materialize(_votes(materialize(banded_pairs(texts, prepare), "pairs"), texts, prepare), "votes")
+    votes = _decided(texts, prepare)
     chosen = texts.filter(F.pmod(F.xxhash64("same"), F.lit(1_000_000)) < int(min(1.0, sample / max(1, number)) * 1_000_000))
     model = Terminality([p for p in _prepared([r.text for r in chosen.select("text").toLocalIterator()], prepare) if p])
     shared = df.sparkSession.sparkContext.broadcast(model)

@@ -39,3 +39,24 @@ def test_find_cut(spark):
     assert 901 not in got and 902 not in got
     assert sum(got.values()) <= 4
     assert find_cut(df.limit(0), "id", "text").count() == 0
+
+
+def test_every_longer_copy_of_a_band_is_met(spark):
+    """The longest retelling of a family is changed where the value ends; only a shorter one proves the cut."""
+    told = " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}ra" for i in range(150))
+    value = f"{told} her cousin saw the lantern and said nothing"
+    whole = f"{value} to the ferryman."
+    edited = [f"{value[:-7]}something before all the other {x} guests that night." for x in ("old", "rich", "loud", "late", "sad", "new", "odd", "shy")]
+    rows = [(1, value), (2, whole)] + [(10 + i, x) for i, x in enumerate(edited)] + [(100 + i, v) for i, v in enumerate(values())]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = {r.id: (r.cut, r.by) for r in find_cut(df, "id", "text").collect()}
+    assert got[1] == (True, "copy")
+
+
+def test_strongly_cut_value_meets_its_copy(spark):
+    words = [f"word{i}" for i in range(120)]
+    rows = [(i, " ".join([f"{w}x{i}" for w in words]) + ".") for i in range(12)]
+    rows += [(100 + i, t[: t.index(" word30x")]) for i, t in rows[:12]]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = {r.id: (r.cut, r.by) for r in find_cut(df, "id", "text").collect()}
+    assert all(got[100 + i] == (True, "copy") for i in range(12))
