@@ -12,7 +12,9 @@ document is reported once per passage; repeated rows don't add rows.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -100,16 +102,45 @@ def stretches(passage: str, text: str, gap: int = 30, drift: int = 6, identity:
     ends = np.append(starts[1:], len(at_p)) - 1
     runs = sorted((int(at_p[s]), int(at_p[e]) + size, int(at_t[s] - at_p[s])) for s, e in zip(starts, ends, strict=True))
     chains: list[list[int]] = []  # start, end, first diagonal, last diagonal, matched
+    # Open chains by their last diagonal; a chain is open until a run starts more than ``gap`` behind its end.
+    diagonals: list[int] = []
+    by_diagonal: dict[int, list[int]] = {}
+    ends_first: list[tuple[int, int, int]] = []  # heap of (end, diagonal, number of the chain)
+
+    def put(number: int) -> None:
+        c = chains[number]
+        if c[3] not in by_diagonal:
+            insort(diagonals, c[3])
+            by_diagonal[c[3]] = []
+        by_diagonal[c[3]].append(number)
+        heappush(ends_first, (c[1], c[3], number))
+
+    def take(diagonal: int, number: int) -> None:
+        by_diagonal[diagonal].remove(number)
+        if not by_diagonal[diagonal]:
+            del by_diagonal[diagonal]
+            del diagonals[bisect_left(diagonals, diagonal)]
+
     for s, e, d in runs:
+        while ends_first and s - ends_first[0][0] > gap:
+            end, diagonal, number = heappop(ends_first)
+            if chains[number][1] == end and chains[number][3] == diagonal:  # else it was extended since
+                take(diagonal, number)
         best = None
-        for c in chains[-200:]:
-            if abs(c[3] - d) <= drift and s - c[1] <= gap and e > c[1] and (best is None or c[4] > best[4]):
-                best = c
+        for diagonal in diagonals[bisect_left(diagonals, d - drift) : bisect_right(diagonals, d + drift)]:
+            for number in by_diagonal[diagonal]:
+                c = chains[number]
+                if e > c[1] and (best is None or (-c[4], number) < (-chains[best][4], best)):
+                    best = number
         if best is not None:
-            best[4] += e - max(s, best[1])
-            best[1], best[3] = e, d
+            c = chains[best]
+            take(c[3], best)
+            c[4] += e - max(s, c[1])
+            c[1], c[3] = e, d
+            put(best)
         else:
             chains.append([s, e, d, d, e - s])
+            put(len(chains) - 1)
     return [(c[0], c[1], c[0] + c[2]) for c in chains if c[4] >= identity * (c[1] - c[0])]
 
 

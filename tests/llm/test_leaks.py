@@ -20,6 +20,17 @@ def test_held_counts_two_stretches_in_order():
     assert held(passage, "") == held("", passage) == 0.0
 
 
+def test_frequent_phrases_hide_no_stretch():
+    """Three phrases of the passage stand 300 times each in a long text that also holds the whole passage."""
+    parts = [text(9) for _ in range(4)]
+    phrases = [f"{a}captain{b}lighthouse" for a, b in (("old", "grey"), ("young", "red"), ("late", "blue"))]
+    words = " ".join(f"{p} {q}" for p, q in zip(parts, [*phrases, ""], strict=True))
+    changed = " ".join(w if k % 4 or "captain" in w else f"q{w[1:]}" for k, w in enumerate(words.split()))
+    many = " ".join(f"{phrases[i % 3]} {text(3)}" for i in range(900))
+    assert held(words, changed) > 0.7
+    assert held(words, f"{many} {changed} {many}") >= held(words, changed)
+
+
 def test_search(spark):
     items = [(i, text(70)) for i in range(6)] + [(6, "字" * 3), (7, None), (8, "!!!")]
     docs = [(100 + i, text(200)) for i in range(30)]
