@@ -8,10 +8,10 @@ after ``normalize_newlines``; spans are half-open and count code points.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.packs import NOVEL, LanguagePack
@@ -73,7 +73,10 @@ def pack_lines(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]
 
 def fixed_chunks_of(text: str, size: int, overlap: int) -> list[tuple[int, int, int, int]]:
     """(core_start, core_end, window_start, window_end); windows grow by whole lines to at least the overlap."""
-    spans = _lines(text, 0, len(text))
+    return _fixed(_lines(text, 0, len(text)), size, overlap)
+
+
+def _fixed(spans: list[tuple[int, int]], size: int, overlap: int) -> list[tuple[int, int, int, int]]:
     out = []
     for i, j in pack_lines(spans, size):
         core_start, core_end = spans[i][0], spans[j - 1][1]
@@ -97,17 +100,22 @@ def semantic_chunks_of(text: str, size: int, overlap: int, heading: re.Pattern)
     bounds = [*([0] if text[: chapters[0]].strip() else []), *chapters, len(text)]
     out = []
     for lo, hi in zip(bounds, bounds[1:], strict=False):
-        spans = _lines(text, lo, hi)
-        if not spans:
-            continue
-        starts = [s for s, _ in spans]
-        for i, j in pack_lines(spans, size) if hi - lo > size else [(0, len(spans))]:
-            core_start, core_end = spans[i][0], spans[j - 1][1]
-            a = max(bisect_left(starts, core_start - overlap + 1), 0)
-            b = j
-            while b < len(spans) and spans[b][1] - core_end < overlap:
-                b += 1
-            out.append((core_start, core_end, spans[min(a, i)][0], spans[b - 1][1]))
+        out += _within(_lines(text, lo, hi), hi - lo, size, overlap)
+    return out
+
+
+def _within(spans: list[tuple[int, int]], length: int, size: int, overlap: int) -> list[tuple[int, int, int, int]]:
+    """Chunks of one chapter of this length, from its lines."""
+    out, starts = [], [s for s, _ in spans]
+    if not spans:
+        return out
+    for i, j in pack_lines(spans, size) if length > size else [(0, len(spans))]:
+        core_start, core_end = spans[i][0], spans[j - 1][1]
+        a = max(bisect_left(starts, core_start - overlap + 1), 0)
+        b = j
+        while b < len(spans) and spans[b][1] - core_end < overlap:
+            b += 1
+        out.append((core_start, core_end, spans[min(a, i)][0], spans[b - 1][1]))
     return out
 
 
@@ -161,3 +169,71 @@ def chunk_table(df: DataFrame, key: str, text: str, mode: str = "fixed", size: i
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), *(pa.array(list(c), pa.int32()) for c in columns)], names)
 
     return df.select(key, text).mapInArrow(expand, f"`{key}` {kind}, chunk_index int, core_start int, core_end int, window_start int, window_end int")
+
+
+def book_chunk_table(df: DataFrame, book: str, order: str, text: str, size: int = 6000, overlap: int = 500, pack: LanguagePack = NOVEL) -> DataFrame:
+    """(book, chunk_index from 1, core_start, core_end, window_start, window_end): semantic chunks of whole books.
+
+    A book is its texts in order, joined by line breaks, with line breaks normalised in each. Texts are read where they
+    are: only the places of lines and headings move, and a task packs the lines of one chapter (of the whole book where
+    it has fewer than three).
+    """
+    heading = re.compile(pack.heading)
+
+    def measure(batches):
+        for batch in batches:
+            n, heads, starts, ends = [], [], [], []
+            for value in batch.column(2).to_pylist():
+                value = value.replace("\r\n", "\n").replace("\r", "\n")
+                spans = _lines(value, 0, len(value))
+                n.append(len(value))
+                heads.append([s for s, _ in chapter_starts(value, heading)])
+                starts.append([s for s, _ in spans])
+                ends.append([e for _, e in spans])
+            lists = [pa.array(c, pa.list_(pa.int64())) for c in (heads, starts, ends)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), *lists], ["book", "no", "n", "heads", "starts", "ends"])
+
+    texts = df.filter(F.col(text).isNotNull() & F.col(book).isNotNull()).select(F.col(book).cast("bigint").alias("book"), F.col(order).cast("bigint").alias("no"), F.col(text).alias("text"))
+    parts = texts.mapInArrow(measure, "book bigint, no bigint, n bigint, heads array<bigint>, starts array<bigint>, ends array<bigint>")
+    ahead = Window.partitionBy("book").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    marks = parts.select("book", "no", "n", "heads").withColumn("offset", F.coalesce(F.sum(F.col("n") + 1).over(ahead), F.lit(0)))
+    marks = marks.withColumn("heads", F.transform("heads", lambda h: h + F.col("offset")))
+    marks = marks.withColumn("open", F.coalesce(F.max(F.array_max("heads")).over(ahead), F.lit(-1)))
+    books = marks.groupBy("book").agg(F.max(F.col("offset") + F.col("n")).alias("length"), F.sum(F.size("heads")).alias("chapters"))
+    where = marks.select("book", "no", "offset", "open", "heads").join(books.select("book", (F.col("chapters") >= 3).alias("cut")), "book")
+    # A chapter is named by its first character, text before the first chapter and uncut books by -1.
+    begun = marks.select("book", F.explode("heads").alias("chapter")).unionByName(books.select("book", F.lit(-1).cast("bigint").alias("chapter"))).join(books, "book")
+    begun = begun.filter("chapter = -1 or chapters >= 3")
+    end = F.when(F.col("chapters") < 3, F.col("length")).otherwise(F.coalesce(F.lead("chapter").over(Window.partitionBy("book").orderBy("chapter")), "length"))
+    begun = begun.select("book", "chapter", (end - F.greatest("chapter", F.lit(0))).alias("length"), (F.col("chapters") >= 3).alias("cut"))
+
+    def assign(batches):
+        for batch in batches:
+            book_of, rows = [], []
+            for i, (offset, before, heads, cut, starts, ends) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 7)), strict=True)):
+                groups: dict[int, tuple[list[int], list[int]]] = {}
+                for s, e in zip(starts, ends, strict=True):
+                    at = bisect_right(heads, s + offset)
+                    chapter = (heads[at - 1] if at else before) if cut else -1
+                    a, b = groups.setdefault(chapter, ([], []))
+                    a.append(s + offset)
+                    b.append(e + offset)
+                book_of += [i] * len(groups)
+                rows += [(c, *g) for c, g in groups.items()]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            lists = [pa.array(list(c), pa.list_(pa.int64())) for c in columns[1:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(book_of, pa.int32())), pa.array(list(columns[0]), pa.int64()), *lists], ["book", "chapter", "starts", "ends"])
+
+    placed = parts.select("book", "no", "starts", "ends").join(where, ["book", "no"]).select("book", "offset", "open", "heads", "cut", "starts", "ends")
+    lines = placed.mapInArrow(assign, "book bigint, chapter bigint, starts array<bigint>, ends array<bigint>").join(begun, ["book", "chapter"])
+
+    def cut_chapter(rows: pa.Table) -> pa.Table:
+        spans = sorted((s, e) for a, b in zip(rows["starts"].to_pylist(), rows["ends"].to_pylist(), strict=True) for s, e in zip(a, b, strict=True))
+        found = _within(spans, rows["length"][0].as_py(), size, overlap) if rows["cut"][0].as_py() else _fixed(spans, size, overlap)
+        columns = list(zip(*found, strict=True)) if found else [[]] * 4
+        book_ids = pa.array([rows["book"][0].as_py()] * len(found), pa.int64())
+        return pa.table([book_ids, *(pa.array(list(c), pa.int64()) for c in columns)], ["book", "core_start", "core_end", "window_start", "window_end"])
+
+    chunks = lines.groupBy("book", "chapter").applyInArrow(cut_chapter, "book bigint, core_start bigint, core_end bigint, window_start bigint, window_end bigint")
+    number = F.row_number().over(Window.partitionBy("book").orderBy("core_start"))
+    return chunks.select(F.col("book").alias(book), number.alias("chunk_index"), "core_start", "core_end", "window_start", "window_end")

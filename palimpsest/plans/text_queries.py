@@ -67,10 +67,7 @@ def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole books, chunk texts in order, cut at chapters."""
-    books = table(spark, sf_dir, "documents").filter("text is not null").withColumn("part", F.floor(F.col("chunk_idx") / 8))
-    texts = books.groupBy("book_id", "part").agg(F.array_sort(F.collect_list(F.struct("chunk_idx", "text"))).alias("c"))
-    joined = texts.select((F.col("book_id") * 1_000_000 + F.col("part")).alias("part_id"), F.concat_ws("\n", F.transform("c", lambda x: x.text)).alias("text"))
-    return segment.chunk_table(joined, "part_id", "text", "semantic", 2000, 200)
+    return segment.book_chunk_table(table(spark, sf_dir, "documents"), "book_id", "chunk_idx", "text", 2000, 200)
 
 
 def length_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

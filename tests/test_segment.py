@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from palimpsest.functions.packs import NOVEL
-from palimpsest.operators.segment import chunk_table, fixed_chunks_of, halves_of, length_chunks_of, line_spans, semantic_chunks_of
+from palimpsest.operators.segment import book_chunk_table, chunk_table, fixed_chunks_of, halves_of, length_chunks_of, line_spans, semantic_chunks_of
 
 HEADING = re.compile(NOVEL.heading)
 texts = st.text(alphabet="字句😀a。！\n 第一章", max_size=300)
@@ -54,3 +54,24 @@ def test_tables(spark):
     for mode in ("fixed", "semantic", "length", "halves"):
         assert {r.id for r in chunk_table(df, "id", "text", mode, 10, 3).collect()} >= {i for i, _, _ in want} - {92}
         assert chunk_table(df.limit(0), "id", "text", mode).count() == 0
+
+
+def test_whole_books_are_cut_at_their_chapters(spark):
+    """Chapters that run over many texts, fewer than three headings in any eight of them, and a book without chapters."""
+    rows = []
+    for book, every in ((1, 5), (2, 3), (3, 40), (4, 1)):
+        for i in range(30):
+            head = f"第{i // every + 1}章 风雨\n" if i % every == 2 % every and every < 40 else ""
+            rows.append((book, i, f"开头第{i}行\r\n{head}" + "\n".join(f"第{i}段第{j}句话。" * (j % 4 + 1) for j in range(i % 7)) + ("\n\n" if i % 3 else "")))
+    rows += [(1, 99, None), (5, 0, ""), (6, 0, " \n ")]
+    df = spark.createDataFrame(rows, "book_id long, chunk_idx int, text string")
+    got = {}
+    for r in sorted(book_chunk_table(df, "book_id", "chunk_idx", "text", 120, 30).collect()):
+        got.setdefault(r.book_id, []).append(tuple(r)[1:])
+    want = {}
+    for book in range(1, 7):
+        whole = "\n".join(t.replace("\r\n", "\n") for b, _, t in rows if b == book and t is not None)
+        found = semantic_chunks_of(whole, 120, 30, HEADING)
+        if found:
+            want[book] = [(n, *c) for n, c in enumerate(found, 1)]
+    assert got == want
