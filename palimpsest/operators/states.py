@@ -5,8 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: How many entries of each list the rolling context keeps.
-CAPS = {"characters": 10, "open_threads": 12, "resolved": 20}
+#: How many entries of each list the rolling context keeps in a document of less than two million characters.
+CAPS = {"characters": 40, "open_threads": 40, "resolved": 30}
+MILLION = 1_000_000
 STALE_AFTER = 50
 
 
@@ -16,11 +17,13 @@ def extend(items: list, new: list, cap: int) -> list:
     return [*(x for x in items if x not in fresh), *fresh][-cap:]
 
 
-def context_step(state: dict, chunk: int, characters: list, opened: list, resolved: list) -> dict:
-    """The rolling context after one chunk: what is resolved is open no more."""
-    done = extend(state.get("resolved", []), resolved, CAPS["resolved"])
-    still = [x for x in extend(state.get("open_threads", []), opened, CAPS["open_threads"]) if x not in done]
-    return {"characters": extend(state.get("characters", []), characters, CAPS["characters"]), "open_threads": still, "resolved": done, "last_chunk": chunk}
+def context_step(state: dict, chunk: int, characters: list, opened: list, resolved: list, length: int = 0) -> dict:
+    """The rolling context after one chunk: what it resolves is open no more. ``length`` of the document scales the caps."""
+    caps = {name: cap * max(1, length // MILLION) for name, cap in CAPS.items()}
+    done = extend(state.get("resolved", []), resolved, caps["resolved"])
+    gone = set(resolved)
+    still = [x for x in extend(state.get("open_threads", []), opened, caps["open_threads"]) if x not in gone]
+    return {"characters": extend(state.get("characters", []), characters, caps["characters"]), "open_threads": still, "resolved": done, "last_chunk": chunk}
 
 
 def memory_step(state: dict, chunk: int, threads: list) -> dict:
@@ -37,13 +40,14 @@ def memory_step(state: dict, chunk: int, threads: list) -> dict:
 def rolling_context(rows: DataFrame, by: str) -> DataFrame:
     """Final context per document from (by, chunk, characters, opened, resolved) with one row per chunk.
 
+    A column ``length``, the characters of the whole document, scales the caps; without it they are the least ones.
     The state is bounded; a document's chunks are folded in order by one function, as each step needs the one before.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         state: dict = {}
         for r in pdf.sort_values("chunk").itertuples(index=False):
-            state = context_step(state, int(r.chunk), list(r.characters), list(r.opened), list(r.resolved))
+            state = context_step(state, int(r.chunk), list(r.characters), list(r.opened), list(r.resolved), int(getattr(r, "length", 0)))
         return pd.DataFrame([(pdf[by].iloc[0], state["last_chunk"], state["characters"], state["open_threads"], len(state["resolved"]))], columns=[by, "last_chunk", "characters", "open_threads", "n_resolved"])
 
     return rows.groupBy(by).applyInPandas(fold, f"{by} {dict(rows.dtypes)[by]}, last_chunk int, characters array<string>, open_threads array<string>, n_resolved int")

@@ -236,13 +236,15 @@ def _chunk_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _facts(spark, sf_dir, "book_id", "chunk_index", "kind", "character_name", "description", "event")
 
     def some(kind: str, column: str):
-        return F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.substring(column, 1, 20))))
+        return F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col(column))))
 
     return rows.groupBy("book_id", F.col("chunk_index").alias("chunk")).agg(some("characters", "character_name").alias("characters"), some("foreshadowing", "description").alias("opened"), some("events", "event").alias("resolved"))
 
 
 def rolling_context_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return states.rolling_context(_chunk_stream(spark, sf_dir), "book_id").select("book_id", "last_chunk", F.size("characters").alias("n_characters"), F.size("open_threads").alias("n_open"), "n_resolved")
+    lengths = table(spark, sf_dir, "documents").groupBy("book_id").agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("length"))
+    chunks = _chunk_stream(spark, sf_dir).join(lengths, "book_id", "left").fillna(0, ["length"])
+    return states.rolling_context(chunks, "book_id").select("book_id", "last_chunk", F.size("characters").alias("n_characters"), F.size("open_threads").alias("n_open"), "n_resolved")
 
 
 def scan_memory_state(spark: SparkSession, sf_dir: str) -> DataFrame:

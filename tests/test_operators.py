@@ -125,3 +125,16 @@ def test_log_is_idempotent(spark, tmp_path):
     write(first, 0)
     write(spark.createDataFrame([(2, datetime(2024, 1, 3), "c")], "k int, at timestamp, v string"), 1)
     assert {(r.k, r.v) for r in folds.read_log(spark, str(tmp_path), ["k"], "at").collect()} == {(1, "b"), (2, "c")}
+
+
+def test_context_keeps_whole_threads_and_scales_with_length(spark, tmp_path):
+    from palimpsest.plans.fact_queries import rolling_context_state
+
+    start = "the same first twenty characters and then "
+    facts = [(i, 1, i, "foreshadowing", None, f"{start}{i}", None) for i in range(90)] + [(100, 1, 90, "events", None, None, f"{start}89")]
+    schema = "fact_id long, book_id long, chunk_index int, kind string, character_name string, description string, event string"
+    for name, length, most in (("short", 10, 39), ("long", 2_000_000, 79)):
+        spark.createDataFrame(facts, schema).write.parquet(str(tmp_path / name / "chunk_facts.parquet"))
+        spark.createDataFrame([(1, "x" * length)], "book_id long, text string").write.parquet(str(tmp_path / name / "documents.parquet"))
+        row = rolling_context_state(spark, str(tmp_path / name)).first()
+        assert (row.n_open, row.n_resolved) == (most, 1)
