@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.tokens import Tokens, _kinds, fingerprints, tokenize
+from palimpsest.llm.tokens import Tokens, _kinds, fingerprints, slices, tokenize
 
 #: (k, w) for scripts written without spaces and for words.
 CHARACTERS, WORDS = (10, 5), (5, 3)
@@ -31,19 +31,6 @@ BLOCK = 1_000_000
 BATCH_CHARS = 400_000
 
 
-def slices(texts: list[str | None], most: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with at most ``most`` characters each, or one text."""
-    start = total = 0
-    for i, t in enumerate(texts):
-        n = len(t or "")
-        if total + n > most and i > start:
-            yield start, i
-            start, total = i, 0
-        total += n
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def passage_prints(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, Tokens]:
     """Fingerprints by the script of their first token, their documents and their places in the document's tokens."""
     tokens = tokenize(texts)
@@ -236,7 +223,7 @@ def _search(shared, share: float, hits: float, names: list[str]):
         for batch in batches:
             texts = batch.column(1).to_pylist()
             at, item, held_share = [], [], []
-            for a, b in slices(texts):
+            for a, b in slices(texts, BATCH_CHARS):
                 for d, i in index.promising(texts[a:b], hits):
                     part = held(index.passages[i], texts[a + d])
                     if part >= share:

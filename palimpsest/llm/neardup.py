@@ -1,20 +1,24 @@
 """Groups of near-duplicate texts by a grouped prefix join.
 
-1. Every text becomes the set of its winnowed shingles (``tokens.fingerprints``); texts with the same tokens collapse
-   to one, the smallest id.
-2. Shingles are ordered from rare to frequent by a count over all texts, kept in a sketch of fixed size. Two texts
-   that share the fraction ``share`` of the larger set also share ``SHARED`` of their first ``n - ceil(share * n) +
-   SHARED`` shingles, so only these prefixes are joined.
-3. Texts with identical prefix and size collapse into one group. Members that verify against the group's leader are
-   represented by it; the others stay on their own.
-4. Prefix shingles are joined; pairs that pass the size and count filter are verified on their whole texts: the
-   overlap of their token pairs, as multisets, must reach ``similarity`` of the longer text.
-5. Verified links are closed to groups by star rewrites (``components``).
+1. Every text becomes the set of its winnowed shingles (``tokens.fingerprints``), batch by batch.
+2. Shingles are counted exactly, in buckets of packed postings; one that only one text has can't be shared and is
+   dropped. The others are ordered from rare to frequent. Two texts that share the fraction ``share`` of the larger set
+   also share ``SHARED`` of the first ``m - ceil(share * n) + SHARED`` of the ``m`` shingles left of ``n``, so only
+   these prefixes are joined, and a text with ``m`` below ``share * n`` has no partner at all.
+3. Texts with identical prefix and size collapse into one group. Copies, and members that verify against the group's
+   leader, are represented by it; the others stay on their own.
+4. Prefixes are joined bucket by bucket. A posting carries what follows it in its prefix, so that sizes and the number
+   of common shingles are known before a pair leaves the task. Pairs are verified on their whole texts: the overlap of
+   their token pairs, as multisets, must reach ``similarity`` of the longer text.
+5. Group pairs whose leaders fail are expanded to their members, where the members' overlap with their leaders leaves
+   a link possible (``_expanded``).
+6. Verified links are closed to groups by star rewrites (``components``).
 
 A run of more than ``hot`` texts with the same shingle isn't expanded to pairs. Its texts are joined on two such
 shingles at once. Where even a pair of shingles is hot, each text is first verified against the smallest and the next
 one, which settles copies of one text; then all pairs of its texts that no link has joined yet are compared, block by
-block (``_rest``).
+block (``_rest``). Shingles of more than one in 50 000 postings are known before anything is shuffled (there are at
+most 100 000 of them); their postings are spread over many buckets and need no count.
 
 Defined results: NULL and blank texts and texts without any letter or digit belong to no group; a repeated id counts
 once; exact copies are always one group; long texts are processed whole.
@@ -22,109 +26,239 @@ once; exact copies are always one group; long texts are processed whole.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.components import connected_components
-from palimpsest.llm.tokens import fingerprints, scramble, shingles, tokenize
-from palimpsest.plans.shared import materialize, release
+from palimpsest.llm.tokens import fingerprints, scramble, shingles, slices, tokenize
+from palimpsest.plans.shared import join_by_degree, materialize, release
 
 #: Tokens of a shingle, and shingles of a window of which the least is kept.
 K, W = 8, 4
 #: Least overlap of the shingle sets that candidates have, and of the token pairs of verified texts.
-SHARE, SIMILARITY = 0.35, 0.62
-SHARED = 2
-SKETCH = 1 << 19
+SHARE, SIMILARITY = 0.3, 0.62
+#: Common shingles that a candidate pair has in its prefixes, but for sets too small to have them.
+SHARED = 3
 HOT = 1000
 #: Bits of a fingerprint that are kept; they decide candidates only, and shorter ones move less.
 BITS = (1 << 48) - 1
+#: Counts are kept up to this; a shingle with it is frequent, and frequent ones are ordered by their hash.
+MOST = 0xFFFF
+#: Postings of a bucket on average, and buckets over which frequent shingles are spread.
+BUCKET, SPREAD = 200_000, 64
+#: A shingle with more than one in so many postings of a batch is reported as possibly frequent.
+RARE = 100_000
+#: Pairs of postings that are compared at once.
+PAIRS = 1_000_000
 
 
 def _prepared(values: list, prepare: Callable | None) -> list:
     return values if prepare is None else [v if v is None else prepare(v) for v in values]
 
 
+def _same(tokens, rows: np.ndarray) -> np.ndarray:
+    """128 bits for each of the documents ``rows`` that are equal for the same tokens, as two columns."""
+    bounds = tokens.bounds()
+    place = (np.arange(len(tokens.hash)) - np.repeat(bounds[:-1], np.diff(bounds))).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        mixed = [scramble(tokens.hash + scramble(place + np.uint64(salt))) for salt in (1, 1 << 40)]
+        sums = [np.add.reduceat(m, bounds[:-1][rows]).astype(np.uint64) if len(rows) else m for m in mixed]
+    return np.stack(sums, 1)
+
+
 def token_keys(df: DataFrame, prepare: Callable | None = None) -> DataFrame:
     """(id, same): ``same`` is equal for texts with the same tokens; texts without tokens have no row."""
 
     def sign(batches):
         for batch in batches:
             tokens = tokenize(_prepared(batch.column(1).to_pylist(), prepare))
-            bounds = tokens.bounds()
-            counts = np.diff(bounds)
-            rows = np.flatnonzero(counts > 0)
-            place = (np.arange(len(tokens.hash)) - np.repeat(bounds[:-1], counts)).astype(np.uint64)
-            with np.errstate(over="ignore"):
-                mixed = [scramble(tokens.hash + scramble(place + np.uint64(salt))) for salt in (1, 1 << 40)]
-                sums = [np.add.reduceat(m, bounds[:-1][rows]).astype(np.uint64) if len(rows) else m for m in mixed]
-            both = np.stack(sums, 1).tobytes()
+            rows = np.flatnonzero(np.diff(tokens.bounds()) > 0)
+            both = _same(tokens, rows).tobytes()
             keys = pa.array([both[i : i + 16] for i in range(0, len(both), 16)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), keys], ["id", "same"])
 
     return df.select("id", "text").mapInArrow(sign, "id bigint, same binary")
 
 
-def shingle_sets(df: DataFrame, k: int = K, w: int = W, prepare: Callable | None = None) -> DataFrame:
-    """(id, size, fps): the number of token pairs of each text and its distinct winnowed fingerprints, sorted."""
+def _pack(fps: np.ndarray) -> bytes:
+    """The lower six bytes of each number."""
+    return np.ascontiguousarray(fps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def _joined(parts: list[pa.RecordBatch], column: str) -> bytes:
+    return b"".join(v for p in parts for v in p.column(column).to_pylist())
+
+
+def _grouped(batches) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Rows with the same value in the first column, which the input is sorted by."""
+    key, held = None, []
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, int)
+        for a, b in zip(starts, np.append(starts[1:], len(keys)), strict=True):
+            if held and keys[a] != key:
+                yield key, held
+                held = []
+            key = int(keys[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield key, held
+
+
+def packed_sets(df: DataFrame, k: int, w: int, prepare: Callable | None) -> DataFrame:
+    """One row per batch of texts with tokens: ids, token keys, numbers of token pairs and of shingles, distinct shingles.
+
+    ``heavy`` holds the shingles with more than one in ``RARE`` postings of the batch, and their counts.
+    """
+    names = ["batch", "postings", "ids", "same", "sizes", "counts", "fps", "heavy"]
 
     def cut(batches):
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            tokens = tokenize(_prepared(batch.column(1).to_pylist(), prepare))
-            fps, first = fingerprints(tokens, k, w)
-            fps &= BITS
-            doc = tokens.doc[first]
-            order = np.lexsort((fps, doc))
-            fps, doc = fps[order], doc[order]
-            new = np.ones(len(fps), bool)
-            new[1:] = (fps[1:] != fps[:-1]) | (doc[1:] != doc[:-1])
-            fps, doc = fps[new], doc[new]
-            offsets = np.searchsorted(doc, np.arange(tokens.docs + 1)).astype(np.int32)
-            pairs = np.maximum(1, np.diff(tokens.bounds()) - 1).astype(np.int32)
-            sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(fps, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pairs), sets], ["id", "size", "fps"])
-
-    return df.select("id", "text").mapInArrow(cut, "id bigint, size int, fps array<bigint>")
-
-
-def _order(docs: DataFrame) -> np.ndarray:
-    """Counts of the shingles of all texts by hash bucket: the frequency order. Its size doesn't grow with the data."""
-    rows = docs.select(F.explode("fps").alias("fp")).groupBy(F.pmod("fp", F.lit(SKETCH)).cast("int").alias("b")).agg(F.count("*").alias("n"))
-    table = rows.toArrow()
-    counts = np.zeros(SKETCH, np.int32)
-    counts[table["b"].to_numpy()] = np.minimum(table["n"].to_numpy(), 2**31 - 1)
-    return counts
-
-
-def _prefixes(docs: DataFrame, counts: np.ndarray, share: float) -> DataFrame:
-    """(id, size, n, prefix, alike): the rarest shingles of each text, and a hash that is equal for equal prefix and size."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+            ids, values = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for a, b in slices(values, 2_000_000, MOST // 2):
+                tokens = tokenize(_prepared(values[a:b], prepare))
+                fps, first = fingerprints(tokens, k, w)
+                fps = (fps & BITS).view(np.uint64)
+                doc = tokens.doc[first]
+                order = np.lexsort((fps, doc))
+                fps, doc = fps[order], doc[order]
+                new = np.ones(len(fps), bool)
+                new[1:] = (fps[1:] != fps[:-1]) | (doc[1:] != doc[:-1])
+                fps, doc = fps[new], doc[new]
+                n = np.bincount(doc, minlength=tokens.docs).astype(np.int32)
+                rows = np.flatnonzero(n)
+                if not len(rows):
+                    continue
+                pairs = np.maximum(1, np.diff(tokens.bounds())[rows] - 1).astype(np.int32)
+                unique, count = np.unique(fps, return_counts=True)
+                often = count >= max(4, len(fps) / RARE)
+                heavy = np.stack([unique[often], count[often].astype(np.uint64)], 1)
+                row = [[number], [len(fps)], *([x.tobytes()] for x in (ids[a:b][rows].astype(np.int64), _same(tokens, rows), pairs, n[rows])), [_pack(fps)], [heavy.tobytes()]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, [pa.int64()] * 2 + [pa.binary()] * 6, strict=True)], names)
+                number += 1
+
+    return df.select("id", "text").mapInArrow(cut, "batch bigint, postings bigint, ids binary, same binary, sizes binary, counts binary, fps binary, heavy binary")
+
+
+def _heavy(docs: DataFrame, postings: int, hot: int) -> np.ndarray:
+    """The frequent shingles: all with more than one in RARE / 2 postings, and at most RARE of them."""
+
+    def spread(batches):
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                both = np.frombuffer(value, np.uint64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, i].astype(np.int64)) for i in range(2)], ["fp", "n"])
 
-    def cut(batches):
+    least = max(postings / RARE, hot)
+    rows = docs.select("heavy").mapInArrow(spread, "fp bigint, n bigint").groupBy("fp").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return np.sort(rows.toArrow()["fp"].to_numpy()).astype(np.uint64)
+
+
+def _bits(postings: int) -> int:
+    return max(3, int(np.ceil(np.log2(max(1, postings) / BUCKET)))) if postings > BUCKET else 3
+
+
+def _by_bucket(fps: np.ndarray, heavy: np.ndarray, bits: int, salt: int) -> np.ndarray:
+    """Bucket of each posting; those of frequent shingles are spread."""
+    bucket = (fps >> np.uint64(48 - bits)).astype(np.int32)
+    return np.where(heavy, (1 << bits) + (fps + np.uint64(salt)).astype(np.int64) % SPREAD, bucket).astype(np.int32)
+
+
+def _counted(docs: DataFrame, frequent: np.ndarray, postings: int) -> DataFrame:
+    """(batch, kind 1, a, b): for each batch the texts and the order keys of their shingles that other texts have too.
+
+    An order key is the count of the shingle and, below it, the shingle.
+    """
+    shared, bits = docs.sparkSession.sparkContext.broadcast(frequent), _bits(postings)
+
+    def pack(batches):
         for batch in batches:
-            lists = batch.column(2)
-            flat, offsets = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            offsets = offsets - offsets[0]
-            n = np.diff(offsets)
-            doc = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((flat, shared.value[np.mod(flat, SKETCH)], doc))
-            flat = flat[order]
-            rank = np.arange(len(flat)) - np.repeat(offsets[:-1], n)
-            length = np.minimum(n, n - np.ceil(share * n - 1e-9).astype(np.int64) + SHARED)
-            keep = rank < np.repeat(length, n)
-            with np.errstate(over="ignore"):
-                mixed = np.where(keep, scramble(flat.view(np.uint64) + rank.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), 0).astype(np.uint64)
-                total = np.concatenate(([0], np.cumsum(mixed))).astype(np.uint64)
-                alike = scramble(total[offsets[1:]] - total[offsets[:-1]] + n.astype(np.uint64)).view(np.int64)
-            kept = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
+            for number, counts, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                fps, n = _unpack(packed), np.frombuffer(counts, np.int32)
+                local = np.repeat(np.arange(len(n), dtype=np.uint16), n)
+                bucket = _by_bucket(fps, np.isin(fps, shared.value), bits, number)
+                order = np.lexsort((fps, bucket))
+                fps, local, bucket = fps[order], local[order], bucket[order]
+                starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+                ends = np.append(starts[1:], len(fps))
+                rows = [bucket[starts], np.full(len(starts), number), *([f(x[a:b]) for a, b in zip(starts, ends, strict=True)] for f, x in ((np.ndarray.tobytes, local), (_pack, fps)))]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "batch", "a", "b"])
+
+    def count(batches):
+        for bucket, parts in _grouped(batches):
+            numbers = np.concatenate([p.column("batch").to_numpy() for p in parts])
+            fps = _unpack(_joined(parts, "b"))
+            sizes = np.array([len(v) // 2 for p in parts for v in p.column("a").to_pylist()])
+            local = np.frombuffer(_joined(parts, "a"), np.uint16)
+            if bucket >> bits:
+                df = np.full(len(fps), MOST)
+            else:
+                _, inverse, n = np.unique(fps, return_inverse=True, return_counts=True)
+                df = np.minimum(n, MOST)[inverse]
+            keys = (df.astype(np.uint64) << np.uint64(48)) | fps
+            kept = df > 1
+            ends = np.cumsum(np.add.reduceat(kept.astype(int), np.cumsum(sizes) - sizes))
+            local, keys = local[kept], keys[kept]
+            cut = list(zip(np.concatenate(([0], ends[:-1])), ends, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n.astype(np.int32)), pa.array(alike), pa.ListArray.from_arrays(pa.array(kept), pa.array(flat[keep]))], ["id", "size", "n", "alike", "prefix"]
+                [pa.array(numbers), pa.array([1] * len(cut), pa.int32()), *(pa.array([x[a:b].tobytes() for a, b in cut], pa.binary()) for x in (local, keys))], ["batch", "kind", "a", "b"]
             )
 
-    return docs.select("id", "size", "fps").mapInArrow(cut, "id bigint, size int, n int, alike bigint, prefix array<bigint>")
+    sent = docs.select("batch", "counts", "fps").mapInArrow(pack, "bucket int, batch bigint, a binary, b binary")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "batch bigint, kind int, a binary, b binary")
+
+
+def _prefixes(docs: DataFrame, counted: DataFrame, share: float) -> DataFrame:
+    """(id, same, size, n, m, alike, keys) of the texts that can have a partner.
+
+    ``n`` and ``m`` are the numbers of a text's shingles and of those that others have, ``keys`` its prefix, and
+    ``alike`` is equal for equal prefix and size.
+    """
+    names = ["id", "same", "size", "n", "m", "alike", "keys"]
+    types = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+
+    def cut(batches):
+        for _, parts in _grouped(batches):
+            kinds = np.concatenate([p.column("kind").to_numpy() for p in parts])
+            first, second = ([v for p in parts for v in p.column(c).to_pylist()] for c in "ab")
+            texts = int(np.flatnonzero(kinds == 0)[0])  # sorted: the texts of the batch come first
+            ids = np.frombuffer(first.pop(texts), np.int64)
+            info, same = second.pop(texts)[:], None
+            size, n = np.frombuffer(info[: 4 * len(ids)], np.int32), np.frombuffer(info[4 * len(ids) : 8 * len(ids)], np.int32)
+            same = info[8 * len(ids) :]
+            local, keys = np.frombuffer(b"".join(first), np.uint16).astype(np.int64), np.frombuffer(b"".join(second), np.uint64)
+            order = np.lexsort((keys, local))
+            local, keys = local[order], keys[order]
+            m = np.bincount(local, minlength=len(ids))
+            wanted = np.ceil(share * n - 1e-9).astype(np.int64)
+            rank = np.arange(len(local)) - np.repeat(np.cumsum(m) - m, m)
+            length = np.where(m >= wanted, np.minimum(m, m - wanted + SHARED), 0)
+            kept = rank < length[local]
+            with np.errstate(over="ignore"):
+                mixed = np.where(kept, scramble(keys + rank.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), 0).astype(np.uint64)
+                total = np.concatenate(([0], np.cumsum(mixed))).astype(np.uint64)
+                ends = np.cumsum(m)
+                alike = scramble(total[ends] - total[ends - m] + n.astype(np.uint64) + (size.astype(np.uint64) << np.uint64(32))).view(np.int64)
+            keys, ends = keys[kept], np.cumsum(length)
+            rows = np.flatnonzero(length)
+            columns = [ids[rows], [same[16 * i : 16 * i + 16] for i in rows], size[rows], n[rows], m[rows].astype(np.int32), alike[rows], [keys[ends[i] - length[i] : ends[i]].tobytes() for i in rows]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    texts = docs.select("batch", F.lit(0).alias("kind"), F.col("ids").alias("a"), F.concat("sizes", "counts", "same").alias("b"))
+    both = texts.unionByName(counted).repartition("batch").sortWithinPartitions("batch", "kind")
+    return both.mapInArrow(cut, "id bigint, same binary, size int, n int, m int, alike bigint, keys binary")
 
 
 def overlap(left: list[str], right: list[str], of_left: bool = False) -> np.ndarray:
@@ -140,35 +274,43 @@ def overlap(left: list[str], right: list[str], of_left: bool = False) -> np.ndar
     bounds = tokens.bounds()
     single = np.flatnonzero(np.diff(bounds) == 1)
     h, owner = np.append(h, tokens.hash[bounds[single]]), np.append(owner, single)
-    order = np.argsort(owner, kind="stable")
-    h, size = h[order], np.bincount(owner, minlength=len(number))
+    # The i-th occurrence of a token pair gets a hash of its own, so that multisets become sets of 32-bit numbers.
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    size = np.bincount(owner, minlength=len(number))
+    place = np.arange(len(h))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    again = place - np.maximum.accumulate(np.where(new, place, 0))
+    with np.errstate(over="ignore"):
+        h = scramble(h + again.astype(np.uint64)) >> np.uint64(32)
+    h = np.sort((owner.astype(np.uint64) << np.uint64(32)) | h) & np.uint64(0xFFFFFFFF)
     start = np.cumsum(size) - size
-    text = np.array([number[t] for t in (*left, *right)], np.int64)
-    counts = size[text] if len(text) else np.zeros(0, np.int64)
-    pair = np.repeat(np.arange(2 * n) % max(n, 1), counts)
-    side = np.repeat(np.arange(2 * n) >= n, counts)
-    h = h[np.repeat(start[text] if len(text) else counts, counts) + np.arange(len(pair)) - np.repeat(np.cumsum(counts) - counts, counts)]
-    order = np.lexsort((h, pair))
-    h, pair, side = h[order], pair[order], side[order]
-    runs = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (pair[1:] != pair[:-1])))) if len(h) else np.zeros(0, int)
-    if not len(runs):
-        return np.zeros(n)
-    rights = np.add.reduceat(side.astype(np.int64), runs)
-    both = np.minimum(rights, np.diff(np.append(runs, len(h))) - rights)
-    common = np.bincount(pair[runs], weights=both, minlength=n)
-    return common / np.maximum(1, counts[:n] if of_left else np.maximum(counts[:n], counts[n:]))
-
-
-def _verify(pairs: DataFrame, texts: DataFrame, similarity: float, prepare: Callable | None) -> DataFrame:
-    """The pairs (a, b) whose whole texts reach the similarity."""
+
+    def elements(side: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        text = np.array([number[t] for t in side], np.int64)
+        counts = size[text] if n else np.zeros(0, np.int64)
+        at = np.arange(counts.sum()) + np.repeat((start[text] if n else counts) - (np.cumsum(counts) - counts), counts)
+        return counts, (np.repeat(np.arange(n, dtype=np.uint64), counts) << np.uint64(32)) | h[at]
+
+    (sizes, a), (others, b) = elements(left), elements(right)
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")  # two sorted runs
+    equal = both[1:][both[1:] == both[:-1]] >> np.uint64(32)
+    common = np.bincount(equal.astype(np.int64), minlength=n)[:n] if n else np.zeros(0)
+    return common / np.maximum(1, sizes if of_left else np.maximum(sizes, others))
+
+
+def _overlaps(pairs: DataFrame, texts: DataFrame, prepare: Callable | None) -> DataFrame:
+    """(a, b, part): the overlap of the whole texts of each pair."""
 
     def check(batches):
         for batch in batches:
-            good = overlap(*(_prepared(batch.column(i).to_pylist(), prepare) for i in (2, 3))) >= similarity
-            yield batch.select(["a", "b"]).filter(pa.array(good))
+            part = overlap(*(_prepared(batch.column(i).to_pylist(), prepare) for i in (2, 3)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(part, pa.float64())], ["a", "b", "part"])
 
     left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a bigint, b bigint")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a bigint, b bigint, part double")
 
 
 def _texts_of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -177,70 +319,110 @@ def _texts_of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return materialize(rows.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
 
 
-def _runs(share: float, hot: int, similarity: float):
-    """Pairs of each run of equal shingles in a partition sorted by shingle; runs beyond ``hot`` are handed on."""
-
-    def pairs(fp, ids, n, length):
-        start = np.flatnonzero(np.concatenate(([True], fp[1:] != fp[:-1])))
-        size = np.diff(np.append(start, len(fp)))
-        # The i-th member of a run is paired with all later ones.
-        size_of, place = np.repeat(size, size), np.arange(len(fp)) - np.repeat(start, size)
-        later = np.where(size_of <= hot, size_of - place - 1, 0)
-        left = np.repeat(np.arange(len(fp)), later)
-        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(later) - later, later)
-        # Texts whose lengths differ too much can't be similar.
-        fit = (n[left] >= share * n[right]) & (n[right] >= share * n[left]) & (ids[left] != ids[right])
-        fit &= (length[left] >= similarity * length[right]) & (length[right] >= similarity * length[left])
-        left, right = left[fit], right[fit]
-        least = np.minimum(SHARED, np.ceil(share * np.maximum(n[left], n[right]) - 1e-9)).astype(np.int32)
-        many = np.flatnonzero(size_of > hot)
-        return [
-            np.concatenate((np.minimum(ids[left], ids[right]), ids[many])),
-            np.concatenate((np.maximum(ids[left], ids[right]), fp[many])),
-            np.concatenate((least, np.zeros(len(many), np.int32))),
-            np.concatenate((np.zeros(len(left), np.int32), n[many])),
-        ]
-
-    def batch_of(columns):
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "least", "n"])
+def _verified(pairs: DataFrame, rows: DataFrame, prepare: Callable | None) -> DataFrame:
+    texts = _texts_of(pairs, rows)
+    found = materialize(_overlaps(pairs, texts, prepare), "overlaps")
+    release(texts)
+    return found
 
-    def read(batches):
-        kept = None
-        for batch in batches:
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            if kept is not None:
-                columns = [np.concatenate(x) for x in zip(kept, columns, strict=True)]
-            cut = int(np.searchsorted(columns[0], columns[0][-1], "left")) if len(columns[0]) else 0
-            kept = [c[cut:] for c in columns]
-            if cut:
-                yield batch_of(pairs(*(c[:cut] for c in columns)))
-            while len(kept[0]) > 64 * hot:  # a run this long is hot, its beginning is handed on
-                yield batch_of([kept[1][: -hot - 1], kept[0][: -hot - 1], np.zeros(len(kept[0]) - hot - 1, np.int32), kept[2][: -hot - 1]])
-                kept = [c[-hot - 1 :] for c in kept]
-        if kept is not None and len(kept[0]):
-            yield batch_of(pairs(*kept))
-
-    return read
-
-
-def _candidates(active: DataFrame, share: float, hot: int, similarity: float) -> tuple[DataFrame, DataFrame | None, list[DataFrame], list[DataFrame]]:
-    """Distinct pairs of texts that share enough of their prefixes, and the texts of hot pairs of shingles.
-
-    The tables that the pairs are read from, and those that both are read from, come with them.
+
+def _common(fp, ids, n, m, size, length, start, after, share: float, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of postings of one shingle each that pass the size and count filters, as numbers of the postings.
+
+    Postings are sorted by shingle; ``after`` holds what follows each posting in its prefix, from ``start`` on.
     """
-    postings = active.select(F.explode("prefix").alias("fp"), "id", "n", "size")
-    found = postings.repartition("fp").sortWithinPartitions("fp").mapInArrow(_runs(share, hot, similarity), "a bigint, b bigint, least int, n int")
-    counted = found.groupBy("a", "b", "least").agg(F.count("*").alias("c"), F.max("n").alias("n"))
-    counted = materialize(counted.filter("least = 0 or c >= least"), "counted")
-    lists = counted.filter("least = 0").select(F.col("b").alias("fp"), F.col("a").alias("id"), "n")
-    if lists.isEmpty():
-        return counted.select("a", "b"), None, [counted], []
-    # A pair that shares hot shingles may have only one in common among the others: those pairs are taken again.
-    usual = found.filter("least > 0").select("a", "b").distinct()
+    begin = np.flatnonzero(np.concatenate(([True], fp[1:] != fp[:-1])))
+    runs = np.diff(np.append(begin, len(fp)))
+    later = np.repeat(runs, runs) - (np.arange(len(fp)) - np.repeat(begin, runs)) - 1
+    done = np.cumsum(later)
+    lo = 0
+    while lo < len(fp):
+        hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + PAIRS, "right")))
+        part = later[lo:hi]
+        left = np.repeat(np.arange(lo, hi), part)
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(part) - part, part)
+        lo = hi
+        wanted = np.ceil(share * np.maximum(n[left], n[right]) - 1e-9).astype(np.int64)
+        fit = (np.minimum(m[left], m[right]) >= wanted) & (np.minimum(size[left], size[right]) >= similarity * np.maximum(size[left], size[right]))
+        least = np.minimum(SHARED, wanted) - 1
+        fit &= np.minimum(length[left], length[right]) >= least
+        left, right, least = left[fit], right[fit], least[fit]
+        if not len(left):
+            continue
+        number = np.arange(len(left), dtype=np.uint64)
+        both = []
+        for side in (left, right):
+            counts = length[side]
+            at = np.arange(counts.sum()) + np.repeat(start[side] - (np.cumsum(counts) - counts), counts)
+            both.append((np.repeat(number, counts) << np.uint64(16)) | after[at])
+        both = np.sort(np.concatenate(both))
+        equal = both[1:][both[1:] == both[:-1]] >> np.uint64(16)
+        good = np.bincount(equal.astype(np.int64), minlength=len(left)) >= least
+        yield left[good], right[good]
+
+
+def _joined_prefixes(active: DataFrame, postings: int, share: float, hot: int, similarity: float) -> DataFrame:
+    """(a, b, n): distinct pairs of texts that pass the filters, with n = 0, and (text, shingle, n) of the hot runs."""
+    bits = _bits(postings)
+
+    def pack(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, size, n, m = (batch.column(i).to_numpy() for i in range(4))
+            values = batch.column(4).to_pylist()
+            length = np.array([len(v) // 8 for v in values])
+            keys, doc = np.frombuffer(b"".join(values), np.uint64), np.repeat(np.arange(len(ids)), length)
+            ends = np.cumsum(length)
+            fps = keys & np.uint64(BITS)
+            bucket = _by_bucket(fps, keys >> np.uint64(48) == MOST, bits, int(ids[0]) & 0xFFFF)
+            order = np.lexsort((fps, bucket))
+            starts = np.flatnonzero(np.concatenate(([True], bucket[order][1:] != bucket[order][:-1])))
+            rest = (ends[doc] - np.arange(len(keys)) - 1).astype(np.int32)  # keys that follow in the prefix
+            short = scramble(fps).astype(np.uint16)
+            rows = []
+            for a, b in zip(starts, np.append(starts[1:], len(keys)), strict=True):
+                p = order[a:b]
+                d, r = doc[p], rest[p]
+                at = np.arange(r.sum()) + np.repeat(p + 1 - (np.cumsum(r) - r), r)
+                rows.append((int(bucket[p[0]]), _pack(fps[p]), ids[d].tobytes(), np.stack([size[d], n[d], m[d], r]).astype(np.int32).tobytes(), short[at].tobytes()))
+            columns = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32()] + [pa.binary()] * 4, strict=True)], ["bucket", "fps", "ids", "numbers", "after"])
+
+    def rows_of(a, b, n):
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n.astype(np.int32))], ["a", "b", "n"])
+
+    def read(batches):
+        for bucket, parts in _grouped(batches):
+            fps, ids = _unpack(_joined(parts, "fps")), np.frombuffer(_joined(parts, "ids"), np.int64)
+            numbers = np.concatenate([np.frombuffer(v, np.int32).reshape(4, -1) for p in parts for v in p.column("numbers").to_pylist()], 1)
+            size, n, m, length = numbers.astype(np.int64)
+            if bucket >> bits:
+                yield rows_of(ids, fps.astype(np.int64), n)
+                continue
+            start, after = np.cumsum(length) - length, np.frombuffer(_joined(parts, "after"), np.uint16).astype(np.uint64)
+            order = np.lexsort((ids, fps))
+            order = order[np.concatenate(([True], (fps[order][1:] != fps[order][:-1]) | (ids[order][1:] != ids[order][:-1])))]
+            fps, ids, size, n, m, length, start = (x[order] for x in (fps, ids, size, n, m, length, start))
+            _, inverse, df = np.unique(fps, return_inverse=True, return_counts=True)
+            many, few = np.flatnonzero(df[inverse] > hot), np.flatnonzero((df[inverse] <= hot) & (df[inverse] > 1))
+            if len(many):
+                yield rows_of(ids[many], fps[many].astype(np.int64), n[many])
+            own = ids[few]
+            for left, right in _common(fps[few], own, *(x[few] for x in (n, m, size, length, start)), after, share, similarity):
+                yield rows_of(np.minimum(own[left], own[right]), np.maximum(own[left], own[right]), np.zeros(len(left)))
+
+    sent = active.select("id", "size", "n", "m", "keys").mapInArrow(pack, "bucket int, fps binary, ids binary, numbers binary, after binary")
+    found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(read, "a bigint, b bigint, n int")
+    return found.distinct()
+
+
+def _hot_pairs(lists: DataFrame, share: float, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidate pairs among the texts of hot shingles, the texts of pairs of shingles that are hot as well, and the table both are read from."""
     hot_ids = lists.groupBy("id", "n").agg(F.sort_array(F.collect_set("fp")).alias("fps"))
     twos = "flatten(transform(fps, (x, i) -> transform(slice(fps, i + 2, size(fps)), y -> struct(x as fp, y as fq))))"
     ones = "transform(fps, x -> struct(x as fp, x as fq))"
-    small = f"ceil({share} * n - 1e-9) < {SHARED}"  # one shared shingle is enough
+    small = f"ceil({share} * n - 1e-9) < 2"  # one shared shingle is enough
     one = f"case when size(fps) = 1 then {ones} when {small} then concat({ones}, {twos}) else {twos} end"
     double = hot_ids.select("id", "n", F.explode(F.expr(one)).alias("p")).select("p.fp", "p.fq", "id", "n")
     sizes = double.groupBy("fp", "fq").agg(F.count("*").alias("df"), F.min("id").alias("least")).filter("df > 1")
@@ -254,7 +436,24 @@ def _candidates(active: DataFrame, share: float, hot: int, similarity: float) ->
     size = (F.col("na") >= share * F.col("nb")) & (F.col("nb") >= share * F.col("na"))
     few = left.join(right, ["fp", "fq"]).filter((F.col("a") < F.col("b")) & size).select("a", "b")
     rest = many.filter((F.col("fp") != F.col("fq")) | F.expr(small)).select("fp", "fq", "id", "df")
-    return usual.unionByName(few).unionByName(stars).unionByName(chains).distinct(), rest, [counted], [double]
+    return few.unionByName(stars).unionByName(chains).distinct(), rest, double
+
+
+def _expanded(failed: DataFrame, kin: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of members of groups whose leaders didn't verify, where a link is still possible.
+
+    All members of a group are of one size ``S`` and share the part ``o`` with their leader. If a member of ``a``'s
+    group and one of ``b``'s share the part ``s``, the leaders share at least ``oa + ob + s - 2`` of the shorter.
+    """
+    least = kin.groupBy("leader").agg(F.min("part").alias("least"))
+    known = failed.join(least.select(F.col("leader").alias("a"), F.col("least").alias("oa")), "a", "left").join(least.select(F.col("leader").alias("b"), F.col("least").alias("ob")), "b", "left")
+    bound = similarity * (F.coalesce("oa", F.lit(1.0)) + F.coalesce("ob", F.lit(1.0)) + similarity - 2)
+    open_pairs = known.filter((F.col("oa").isNotNull() | F.col("ob").isNotNull()) & (F.col("part") >= bound)).select("a", "b")
+    for side in "ab":
+        own = kin.select(F.col("leader").alias(side), F.col("id").alias("member"))
+        moved = open_pairs.join(own, side).select(*(F.col("member").alias(c) if c == side else c for c in "ab"))
+        open_pairs = open_pairs.unionByName(moved)
+    return open_pairs.join(failed.select("a", "b"), ["a", "b"], "left_anti").filter("a <> b").distinct()
 
 
 def _unjoined(label: np.ndarray, block: np.ndarray, inside: bool, texts: list[str], similarity: float) -> list[tuple[int, int]]:
@@ -334,27 +533,38 @@ def near_duplicates(
     if not 0 < share <= 1 or not 0 < similarity <= 1:
         raise ValueError("share and similarity are fractions")
     rows = df.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    members = materialize(token_keys(rows, prepare).distinct(), "members")
-    firsts = materialize(members.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "firsts")
-    chosen = rows.join(firsts.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    docs = materialize(shingle_sets(chosen, k, w, prepare), "docs")
-    prefixed = materialize(_prefixes(docs, _order(docs), share), "prefixed")
+    docs = materialize(packed_sets(rows, k, w, prepare), "docs")
+    postings = docs.agg(F.coalesce(F.sum("postings"), F.lit(0))).first()[0]
+    prefixed = materialize(_prefixes(docs, _counted(docs, _heavy(docs, postings, hot), postings), share), "prefixed")
     release(docs, shuffles=True)
-    alike = prefixed.groupBy("alike", "n").agg(F.min("id").alias("leader"), F.count("*").alias("same")).filter("same > 1")
-    inside = materialize(prefixed.select("alike", "n", "id").join(alike, ["alike", "n"]).filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")), "inside")
-    led = materialize(_verify(inside, _texts_of(inside, rows), similarity, prepare), "led")
+    # Groups of identical prefix and size.
+    alike = prefixed.groupBy("alike").agg(F.count("*").alias("n"), F.min(F.struct("id", "same")).alias("first")).filter("n > 1")
+    alike = alike.select("alike", "n", F.col("first.id").alias("leader"), (F.col("first.same")).alias("same_leader"))
+    inside = join_by_degree(prefixed.select("alike", "id", "same"), alike, ["alike"], prefixed.count()).filter("id <> leader")
+    inside = materialize(inside.select(F.col("leader").alias("a"), F.col("id").alias("b"), (F.col("same") == F.col("same_leader")).alias("copy")).distinct(), "inside")
+    copies = inside.filter("copy").select("a", "b")
+    members = _verified(inside.filter("not copy").select("a", "b"), rows, prepare)
+    kin = members.filter(F.col("part") >= similarity).select(F.col("a").alias("leader"), F.col("b").alias("id"), "part")
+    led = copies.unionByName(kin.select(F.col("leader").alias("a"), F.col("id").alias("b")))
     active = prefixed.join(led.select(F.col("b").alias("id")), "id", "left_anti")
-    candidates, many, read, both = _candidates(active, share, hot, similarity)
-    pairs = materialize(candidates, "pairs")
-    release(prefixed, *read, shuffles=True)
-    links = materialize(_verify(pairs, _texts_of(pairs, rows), similarity, prepare).unionByName(led), "links")
-    if many is not None:
+    found = materialize(_joined_prefixes(active, active.agg(F.coalesce(F.sum(F.length("keys") / 8), F.lit(0))).first()[0], share, hot, similarity), "found")
+    release(prefixed, shuffles=True)
+    pairs, lists = found.filter("n = 0").select("a", "b"), found.filter("n > 0").select(F.col("b").alias("fp"), F.col("a").alias("id"), "n")
+    some_hot = not lists.isEmpty()
+    if some_hot:
+        more, many, double = _hot_pairs(lists, share, hot)
+        pairs = materialize(pairs.unionByName(more).distinct(), "pairs")
+    checked = _verified(pairs, rows, prepare)
+    expanded = _expanded(checked.filter(F.col("part") < similarity), kin, similarity)
+    expanded = _verified(materialize(expanded, "expanded"), rows, prepare)
+    links = checked.unionByName(expanded).filter(F.col("part") >= similarity).select("a", "b").unionByName(led)
+    if some_hot:
+        links = materialize(links, "links")
         links = links.unionByName(materialize(_rest(many, links, rows, hot, similarity, prepare), "rest"))
-        release(*both)
-    groups = connected_components(links)
-    # Only groups of several texts and texts with copies are named; all others have no near-duplicate.
-    named = firsts.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").filter("component is not null or copies > 1")
-    return members.join(named.select("same", F.coalesce("component", "rep").alias("group_id")), "same").select("id", "group_id")
+        release(double, pairs)
+    groups = materialize(connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("group_id")), "groups")
+    release(found, inside, members, checked, expanded, shuffles=True)
+    return groups
 
 
 def member_pairs(groups: DataFrame, a: str, b: str) -> DataFrame:

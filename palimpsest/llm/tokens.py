@@ -7,6 +7,7 @@ so that no Python loop runs per character or token.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -157,3 +158,16 @@ def fingerprints(tokens: Tokens, k: int, w: int) -> tuple[np.ndarray, np.ndarray
         order = np.argsort(first, kind="stable")
         hashes, first = hashes[order], first[order]
     return hashes.view(np.int64), first
+
+
+def slices(texts: list[str | None], most: int, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``rows`` texts with at most ``most`` characters, or of one longer text."""
+    start = total = 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if (total + n > most or i - start >= rows) and i > start:
+            yield start, i
+            start, total = i, 0
+        total += n
+    if start < len(texts):
+        yield start, len(texts)
