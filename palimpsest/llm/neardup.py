@@ -44,7 +44,7 @@ K, W = 8, 4
 SHARE, SIMILARITY = 0.3, 0.62
 #: Common shingles that a candidate pair has in its prefixes, but for sets too small to have them.
 SHARED = 3
-HOT = 1000
+HOT = 5000
 #: Bits of a fingerprint that are kept; they decide candidates only, and shorter ones move less.
 BITS = (1 << 48) - 1
 #: Counts are kept up to this; a shingle with it is frequent, and frequent ones are ordered by their hash.
