@@ -85,19 +85,23 @@ def token_keys(df: DataFrame, prepare: Callable | None = None) -> DataFrame:
     return df.select("id", "text").mapInArrow(sign, "id bigint, same binary")
 
 
-def _pack(fps: np.ndarray) -> bytes:
-    """The lower six bytes of each number."""
-    return np.ascontiguousarray(fps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _squeeze(values: np.ndarray, rising: bool = False) -> bytes:
+    """Numbers by planes of their bytes, compressed; rising ones as differences."""
+    if rising and len(values):
+        values = np.concatenate((values[:1], np.diff(values)))
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    return len(values).to_bytes(8, "little") + pa.Codec("zstd").compress(planes, asbytes=True)
 
 
-def _unpack(packed: bytes) -> np.ndarray:
-    out = np.zeros((len(packed) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+def _restored(packed: bytes, dtype, rising: bool = False) -> np.ndarray:
+    n, dtype = int.from_bytes(packed[:8], "little"), np.dtype(dtype)
+    planes = np.frombuffer(pa.Codec("zstd").decompress(packed[8:], n * dtype.itemsize, asbytes=True), np.uint8)
+    values = np.ascontiguousarray(planes.reshape(dtype.itemsize, n).T).view(dtype).ravel()
+    return np.cumsum(values, dtype=dtype) if rising else values
 
 
-def _joined(parts: list[pa.RecordBatch], column: str) -> bytes:
-    return b"".join(v for p in parts for v in p.column(column).to_pylist())
+def _column(parts: list[pa.RecordBatch], column: str, dtype, rising: bool = False) -> list[np.ndarray]:
+    return [_restored(v, dtype, rising) for p in parts for v in p.column(column).to_pylist()]
 
 
 def _grouped(batches) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
@@ -145,7 +149,7 @@ def packed_sets(df: DataFrame, k: int, w: int, prepare: Callable | None) -> Data
                 unique, count = np.unique(fps, return_counts=True)
                 often = count >= max(4, len(fps) / RARE)
                 heavy = np.stack([unique[often], count[often].astype(np.uint64)], 1)
-                row = [[number], [len(fps)], *([x.tobytes()] for x in (ids[a:b][rows].astype(np.int64), _same(tokens, rows), pairs, n[rows])), [_pack(fps)], [heavy.tobytes()]]
+                row = [[number], [len(fps)], *([x.tobytes()] for x in (ids[a:b][rows].astype(np.int64), _same(tokens, rows), pairs, n[rows])), [_squeeze(fps)], [heavy.tobytes()]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, [pa.int64()] * 2 + [pa.binary()] * 6, strict=True)], names)
                 number += 1
 
@@ -177,47 +181,42 @@ def _by_bucket(fps: np.ndarray, heavy: np.ndarray, bits: int, salt: int) -> np.n
 
 
 def _counted(docs: DataFrame, frequent: np.ndarray, postings: int) -> DataFrame:
-    """(batch, kind 1, a, b): for each batch the texts and the order keys of their shingles that other texts have too.
-
-    An order key is the count of the shingle and, below it, the shingle.
-    """
+    """(batch, kind 1, a, b, c): for each batch the texts, their shingles that other texts have too, and the counts of these."""
     shared, bits = docs.sparkSession.sparkContext.broadcast(frequent), _bits(postings)
 
     def pack(batches):
         for batch in batches:
             for number, counts, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                fps, n = _unpack(packed), np.frombuffer(counts, np.int32)
+                fps, n = _restored(packed, np.uint64), np.frombuffer(counts, np.int32)
                 local = np.repeat(np.arange(len(n), dtype=np.uint16), n)
                 bucket = _by_bucket(fps, np.isin(fps, shared.value), bits, number)
                 order = np.lexsort((fps, bucket))
                 fps, local, bucket = fps[order], local[order], bucket[order]
                 starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
                 ends = np.append(starts[1:], len(fps))
-                rows = [bucket[starts], np.full(len(starts), number), *([f(x[a:b]) for a, b in zip(starts, ends, strict=True)] for f, x in ((np.ndarray.tobytes, local), (_pack, fps)))]
+                rows = [bucket[starts], np.full(len(starts), number), *([_squeeze(x[a:b], rising) for a, b in zip(starts, ends, strict=True)] for x, rising in ((local, False), (fps, True)))]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "batch", "a", "b"])
 
     def count(batches):
         for bucket, parts in _grouped(batches):
             numbers = np.concatenate([p.column("batch").to_numpy() for p in parts])
-            fps = _unpack(_joined(parts, "b"))
-            sizes = np.array([len(v) // 2 for p in parts for v in p.column("a").to_pylist()])
-            local = np.frombuffer(_joined(parts, "a"), np.uint16)
+            local, fps = _column(parts, "a", np.uint16), _column(parts, "b", np.uint64, True)
+            ends = np.cumsum([len(x) for x in fps])
+            every = np.concatenate(fps)
             if bucket >> bits:
-                df = np.full(len(fps), MOST)
+                df = np.full(len(every), MOST, np.uint16)
             else:
-                _, inverse, n = np.unique(fps, return_inverse=True, return_counts=True)
-                df = np.minimum(n, MOST)[inverse]
-            keys = (df.astype(np.uint64) << np.uint64(48)) | fps
-            kept = df > 1
-            ends = np.cumsum(np.add.reduceat(kept.astype(int), np.cumsum(sizes) - sizes))
-            local, keys = local[kept], keys[kept]
-            cut = list(zip(np.concatenate(([0], ends[:-1])), ends, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(numbers), pa.array([1] * len(cut), pa.int32()), *(pa.array([x[a:b].tobytes() for a, b in cut], pa.binary()) for x in (local, keys))], ["batch", "kind", "a", "b"]
-            )
+                _, inverse, n = np.unique(every, return_inverse=True, return_counts=True)
+                df = np.minimum(n, MOST).astype(np.uint16)[inverse]
+            out = [[], [], []]
+            for texts, own, times in zip(local, fps, np.split(df, ends[:-1]), strict=True):
+                kept = times > 1
+                for column, x, rising in zip(out, (texts, own, times), (False, True, False), strict=True):
+                    column.append(_squeeze(x[kept], rising))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array([1] * len(fps), pa.int32()), *(pa.array(x, pa.binary()) for x in out)], ["batch", "kind", "a", "b", "c"])
 
     sent = docs.select("batch", "counts", "fps").mapInArrow(pack, "bucket int, batch bigint, a binary, b binary")
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "batch bigint, kind int, a binary, b binary")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "batch bigint, kind int, a binary, b binary, c binary")
 
 
 def _prefixes(docs: DataFrame, counted: DataFrame, share: float) -> DataFrame:
@@ -231,14 +230,13 @@ def _prefixes(docs: DataFrame, counted: DataFrame, share: float) -> DataFrame:
 
     def cut(batches):
         for _, parts in _grouped(batches):
-            kinds = np.concatenate([p.column("kind").to_numpy() for p in parts])
-            first, second = ([v for p in parts for v in p.column(c).to_pylist()] for c in "ab")
-            texts = int(np.flatnonzero(kinds == 0)[0])  # sorted: the texts of the batch come first
-            ids = np.frombuffer(first.pop(texts), np.int64)
-            info, same = second.pop(texts)[:], None
-            size, n = np.frombuffer(info[: 4 * len(ids)], np.int32), np.frombuffer(info[4 * len(ids) : 8 * len(ids)], np.int32)
-            same = info[8 * len(ids) :]
-            local, keys = np.frombuffer(b"".join(first), np.uint16).astype(np.int64), np.frombuffer(b"".join(second), np.uint64)
+            info, rest = parts[0].slice(0, 1), [parts[0].slice(1), *parts[1:]]  # the texts of the batch come first
+            ids, numbers = np.frombuffer(info.column("a")[0].as_py(), np.int64), info.column("b")[0].as_py()
+            size, n = (np.frombuffer(numbers[4 * len(ids) * i : 4 * len(ids) * (i + 1)], np.int32) for i in range(2))
+            same = numbers[8 * len(ids) :]
+            local = np.concatenate([np.zeros(0, np.int64), *_column(rest, "a", np.uint16)]).astype(np.int64)
+            # An order key is the count of a shingle and, below it, the shingle.
+            keys = np.concatenate([np.zeros(0, np.uint64), *((df.astype(np.uint64) << np.uint64(48)) | fps for fps, df in zip(_column(rest, "b", np.uint64, True), _column(rest, "c", np.uint16), strict=True))])
             order = np.lexsort((keys, local))
             local, keys = local[order], keys[order]
             m = np.bincount(local, minlength=len(ids))
@@ -256,7 +254,7 @@ def _prefixes(docs: DataFrame, counted: DataFrame, share: float) -> DataFrame:
             columns = [ids[rows], [same[16 * i : 16 * i + 16] for i in rows], size[rows], n[rows], m[rows].astype(np.int32), alike[rows], [keys[ends[i] - length[i] : ends[i]].tobytes() for i in rows]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    texts = docs.select("batch", F.lit(0).alias("kind"), F.col("ids").alias("a"), F.concat("sizes", "counts", "same").alias("b"))
+    texts = docs.select("batch", F.lit(0).alias("kind"), F.col("ids").alias("a"), F.concat("sizes", "counts", "same").alias("b"), F.lit(None).cast("binary").alias("c"))
     both = texts.unionByName(counted).repartition("batch").sortWithinPartitions("batch", "kind")
     return both.mapInArrow(cut, "id bigint, same binary, size int, n int, m int, alike bigint, keys binary")
 
@@ -385,7 +383,8 @@ def _joined_prefixes(active: DataFrame, postings: int, share: float, hot: int, s
                 p = order[a:b]
                 d, r = doc[p], rest[p]
                 at = np.arange(r.sum()) + np.repeat(p + 1 - (np.cumsum(r) - r), r)
-                rows.append((int(bucket[p[0]]), _pack(fps[p]), ids[d].tobytes(), np.stack([size[d], n[d], m[d], r]).astype(np.int32).tobytes(), short[at].tobytes()))
+                numbers = np.concatenate([size[d], n[d], m[d], r]).astype(np.int32)
+                rows.append((int(bucket[p[0]]), _squeeze(fps[p], True), _squeeze(ids[d]), _squeeze(numbers), _squeeze(short[at])))
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32()] + [pa.binary()] * 4, strict=True)], ["bucket", "fps", "ids", "numbers", "after"])
 
@@ -394,13 +393,12 @@ def _joined_prefixes(active: DataFrame, postings: int, share: float, hot: int, s
 
     def read(batches):
         for bucket, parts in _grouped(batches):
-            fps, ids = _unpack(_joined(parts, "fps")), np.frombuffer(_joined(parts, "ids"), np.int64)
-            numbers = np.concatenate([np.frombuffer(v, np.int32).reshape(4, -1) for p in parts for v in p.column("numbers").to_pylist()], 1)
-            size, n, m, length = numbers.astype(np.int64)
+            fps, ids = np.concatenate(_column(parts, "fps", np.uint64, True)), np.concatenate(_column(parts, "ids", np.int64))
+            size, n, m, length = np.concatenate([x.reshape(4, -1) for x in _column(parts, "numbers", np.int32)], 1).astype(np.int64)
             if bucket >> bits:
                 yield rows_of(ids, fps.astype(np.int64), n)
                 continue
-            start, after = np.cumsum(length) - length, np.frombuffer(_joined(parts, "after"), np.uint16).astype(np.uint64)
+            start, after = np.cumsum(length) - length, np.concatenate(_column(parts, "after", np.uint16)).astype(np.uint64)
             order = np.lexsort((ids, fps))
             order = order[np.concatenate(([True], (fps[order][1:] != fps[order][:-1]) | (ids[order][1:] != ids[order][:-1])))]
             fps, ids, size, n, m, length, start = (x[order] for x in (fps, ids, size, n, m, length, start))
