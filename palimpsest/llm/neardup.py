@@ -41,7 +41,7 @@ from palimpsest.plans.shared import join_by_degree, materialize, release
 #: Tokens of a shingle, and shingles of a window of which the least is kept.
 K, W = 8, 4
 #: Least overlap of the shingle sets that candidates have, and of the token pairs of verified texts.
-SHARE, SIMILARITY = 0.3, 0.62
+SHARE, SIMILARITY = 0.25, 0.62
 #: Common shingles that a candidate pair has in its prefixes, but for sets too small to have them.
 SHARED = 3
 HOT = 5000
