@@ -17,8 +17,9 @@
 A run of more than ``hot`` texts with the same shingle isn't expanded to pairs. Its texts are joined on two such
 shingles at once. Where even a pair of shingles is hot, each text is first verified against the smallest and the next
 one, which settles copies of one text; then all pairs of its texts that no link has joined yet are compared, block by
-block (``_rest``). Shingles of more than one in 50 000 postings are known before anything is shuffled (there are at
-most 100 000 of them); their postings are spread over many buckets and need no count.
+block (``_rest``). Shingles of more than one in 50 000 postings are known before postings are shuffled, those of all
+texts before they are counted and those of all prefixes before they are joined (there are at most 100 000 of either);
+their postings are spread over many buckets.
 
 Defined results: NULL and blank texts and texts without any letter or digit belong to no group; a repeated id counts
 once; exact copies are always one group; long texts are processed whole.
@@ -156,8 +157,14 @@ def packed_sets(df: DataFrame, k: int, w: int, prepare: Callable | None) -> Data
     return df.select("id", "text").mapInArrow(cut, "batch bigint, postings bigint, ids binary, same binary, sizes binary, counts binary, fps binary, heavy binary")
 
 
+def _frequent(rows: DataFrame, postings: int, hot: int) -> np.ndarray:
+    """The shingles of (fp, n) whose sum reaches ``hot`` and one in RARE postings: at most RARE of them, sorted."""
+    found = rows.groupBy("fp").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(postings / RARE, hot))
+    return np.sort(found.toArrow()["fp"].to_numpy()).astype(np.uint64)
+
+
 def _heavy(docs: DataFrame, postings: int, hot: int) -> np.ndarray:
-    """The frequent shingles: all with more than one in RARE / 2 postings, and at most RARE of them."""
+    """The frequent shingles of all texts: all with more than one in RARE / 2 postings."""
 
     def spread(batches):
         for batch in batches:
@@ -165,9 +172,19 @@ def _heavy(docs: DataFrame, postings: int, hot: int) -> np.ndarray:
                 both = np.frombuffer(value, np.uint64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, i].astype(np.int64)) for i in range(2)], ["fp", "n"])
 
-    least = max(postings / RARE, hot)
-    rows = docs.select("heavy").mapInArrow(spread, "fp bigint, n bigint").groupBy("fp").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    return np.sort(rows.toArrow()["fp"].to_numpy()).astype(np.uint64)
+    return _frequent(docs.select("heavy").mapInArrow(spread, "fp bigint, n bigint"), postings, hot)
+
+
+def _heavy_prefixes(prefixed: DataFrame, postings: int, hot: int) -> np.ndarray:
+    """The frequent shingles of all prefixes; only shingles of so many texts are counted again."""
+
+    def count(batches):
+        for batch in batches:
+            keys = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
+            fps, n = np.unique(keys[keys >> np.uint64(48) >= min(hot, MOST)] & np.uint64(BITS), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(fps.astype(np.int64)), pa.array(n)], ["fp", "n"])
+
+    return _frequent(prefixed.select("keys").mapInArrow(count, "fp bigint, n bigint"), postings, hot)
 
 
 def _bits(postings: int) -> int:
@@ -359,9 +376,9 @@ def _common(fp, ids, n, m, size, length, start, after, share: float, similarity:
         yield left[good], right[good]
 
 
-def _joined_prefixes(active: DataFrame, postings: int, share: float, hot: int, similarity: float) -> DataFrame:
+def _joined_prefixes(active: DataFrame, frequent: np.ndarray, postings: int, share: float, hot: int, similarity: float) -> DataFrame:
     """(a, b, n): distinct pairs of texts that pass the filters, with n = 0, and (text, shingle, n) of the hot runs."""
-    bits = _bits(postings)
+    shared, bits = active.sparkSession.sparkContext.broadcast(frequent), _bits(postings)
 
     def pack(batches):
         for batch in batches:
@@ -373,7 +390,7 @@ def _joined_prefixes(active: DataFrame, postings: int, share: float, hot: int, s
             keys, doc = np.frombuffer(b"".join(values), np.uint64), np.repeat(np.arange(len(ids)), length)
             ends = np.cumsum(length)
             fps = keys & np.uint64(BITS)
-            bucket = _by_bucket(fps, keys >> np.uint64(48) == MOST, bits, int(ids[0]) & 0xFFFF)
+            bucket = _by_bucket(fps, np.isin(fps, shared.value), bits, int(ids[0]) & 0xFFFF)
             order = np.lexsort((fps, bucket))
             starts = np.flatnonzero(np.concatenate(([True], bucket[order][1:] != bucket[order][:-1])))
             rest = (ends[doc] - np.arange(len(keys)) - 1).astype(np.int32)  # keys that follow in the prefix
@@ -545,7 +562,8 @@ def near_duplicates(
     kin = members.filter(F.col("part") >= similarity).select(F.col("a").alias("leader"), F.col("b").alias("id"), "part")
     led = copies.unionByName(kin.select(F.col("leader").alias("a"), F.col("id").alias("b")))
     active = prefixed.join(led.select(F.col("b").alias("id")), "id", "left_anti")
-    found = materialize(_joined_prefixes(active, active.agg(F.coalesce(F.sum(F.length("keys") / 8), F.lit(0))).first()[0], share, hot, similarity), "found")
+    kept = prefixed.agg(F.coalesce(F.sum(F.length("keys") / 8), F.lit(0))).first()[0]
+    found = materialize(_joined_prefixes(active, _heavy_prefixes(prefixed, kept, hot), kept, share, hot, similarity), "found")
     release(prefixed, shuffles=True)
     pairs, lists = found.filter("n = 0").select("a", "b"), found.filter("n > 0").select(F.col("b").alias("fp"), F.col("a").alias("id"), "n")
     some_hot = not lists.isEmpty()
