@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.components import connected_components
+from palimpsest.llm.packed import BITS, bits_for, by_bucket, column, frequent_keys, grouped, heavy_keys, often, restored, squeeze
 from palimpsest.llm.tokens import fingerprints, scramble, shingles, slices, tokenize
 from palimpsest.plans.shared import join_by_degree, materialize, release
 
@@ -46,14 +47,8 @@ SHARE, SIMILARITY = 0.25, 0.62
 #: Common shingles that a candidate pair has in its prefixes, but for sets too small to have them.
 SHARED = 3
 HOT = 5000
-#: Bits of a fingerprint that are kept; they decide candidates only, and shorter ones move less.
-BITS = (1 << 48) - 1
 #: Counts are kept up to this; a shingle with it is frequent, and frequent ones are ordered by their hash.
 MOST = 0xFFFF
-#: Postings of a bucket on average, and buckets over which frequent shingles are spread.
-BUCKET, SPREAD = 200_000, 64
-#: A shingle with more than one in so many postings of a batch is reported as possibly frequent.
-RARE = 100_000
 #: Pairs of postings that are compared at once.
 PAIRS = 1_000_000
 
@@ -72,55 +67,6 @@ def _same(tokens, rows: np.ndarray) -> np.ndarray:
     return np.stack(sums, 1)
 
 
-def token_keys(df: DataFrame, prepare: Callable | None = None) -> DataFrame:
-    """(id, same): ``same`` is equal for texts with the same tokens; texts without tokens have no row."""
-
-    def sign(batches):
-        for batch in batches:
-            tokens = tokenize(_prepared(batch.column(1).to_pylist(), prepare))
-            rows = np.flatnonzero(np.diff(tokens.bounds()) > 0)
-            both = _same(tokens, rows).tobytes()
-            keys = pa.array([both[i : i + 16] for i in range(0, len(both), 16)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), keys], ["id", "same"])
-
-    return df.select("id", "text").mapInArrow(sign, "id bigint, same binary")
-
-
-def _squeeze(values: np.ndarray, rising: bool = False) -> bytes:
-    """Numbers by planes of their bytes, compressed; rising ones as differences."""
-    if rising and len(values):
-        values = np.concatenate((values[:1], np.diff(values)))
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
-    return len(values).to_bytes(8, "little") + pa.Codec("zstd").compress(planes, asbytes=True)
-
-
-def _restored(packed: bytes, dtype, rising: bool = False) -> np.ndarray:
-    n, dtype = int.from_bytes(packed[:8], "little"), np.dtype(dtype)
-    planes = np.frombuffer(pa.Codec("zstd").decompress(packed[8:], n * dtype.itemsize, asbytes=True), np.uint8)
-    values = np.ascontiguousarray(planes.reshape(dtype.itemsize, n).T).view(dtype).ravel()
-    return np.cumsum(values, dtype=dtype) if rising else values
-
-
-def _column(parts: list[pa.RecordBatch], column: str, dtype, rising: bool = False) -> list[np.ndarray]:
-    return [_restored(v, dtype, rising) for p in parts for v in p.column(column).to_pylist()]
-
-
-def _grouped(batches) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
-    """Rows with the same value in the first column, which the input is sorted by."""
-    key, held = None, []
-    for batch in batches:
-        keys = batch.column(0).to_numpy()
-        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, int)
-        for a, b in zip(starts, np.append(starts[1:], len(keys)), strict=True):
-            if held and keys[a] != key:
-                yield key, held
-                held = []
-            key = int(keys[a])
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield key, held
-
-
 def packed_sets(df: DataFrame, k: int, w: int, prepare: Callable | None) -> DataFrame:
     """One row per batch of texts with tokens: ids, token keys, numbers of token pairs and of shingles, distinct shingles.
 
@@ -147,34 +93,13 @@ def packed_sets(df: DataFrame, k: int, w: int, prepare: Callable | None) -> Data
                 if not len(rows):
                     continue
                 pairs = np.maximum(1, np.diff(tokens.bounds())[rows] - 1).astype(np.int32)
-                unique, count = np.unique(fps, return_counts=True)
-                often = count >= max(4, len(fps) / RARE)
-                heavy = np.stack([unique[often], count[often].astype(np.uint64)], 1)
-                row = [[number], [len(fps)], *([x.tobytes()] for x in (ids[a:b][rows].astype(np.int64), _same(tokens, rows), pairs, n[rows])), [_squeeze(fps)], [heavy.tobytes()]]
+                row = [[number], [len(fps)], *([x.tobytes()] for x in (ids[a:b][rows].astype(np.int64), _same(tokens, rows), pairs, n[rows])), [squeeze(fps)], [often(fps)]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, [pa.int64()] * 2 + [pa.binary()] * 6, strict=True)], names)
                 number += 1
 
     return df.select("id", "text").mapInArrow(cut, "batch bigint, postings bigint, ids binary, same binary, sizes binary, counts binary, fps binary, heavy binary")
 
 
-def _frequent(rows: DataFrame, postings: int, hot: int) -> np.ndarray:
-    """The shingles of (fp, n) whose sum reaches ``hot`` and one in RARE postings: at most RARE of them, sorted."""
-    found = rows.groupBy("fp").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(postings / RARE, hot))
-    return np.sort(found.toArrow()["fp"].to_numpy()).astype(np.uint64)
-
-
-def _heavy(docs: DataFrame, postings: int, hot: int) -> np.ndarray:
-    """The frequent shingles of all texts: all with more than one in RARE / 2 postings."""
-
-    def spread(batches):
-        for batch in batches:
-            for value in batch.column(0).to_pylist():
-                both = np.frombuffer(value, np.uint64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, i].astype(np.int64)) for i in range(2)], ["fp", "n"])
-
-    return _frequent(docs.select("heavy").mapInArrow(spread, "fp bigint, n bigint"), postings, hot)
-
-
 def _heavy_prefixes(prefixed: DataFrame, postings: int, hot: int) -> np.ndarray:
     """The frequent shingles of all prefixes; only shingles of so many texts are counted again."""
 
@@ -184,40 +109,30 @@ def _heavy_prefixes(prefixed: DataFrame, postings: int, hot: int) -> np.ndarray:
             fps, n = np.unique(keys[keys >> np.uint64(48) >= min(hot, MOST)] & np.uint64(BITS), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(fps.astype(np.int64)), pa.array(n)], ["fp", "n"])
 
-    return _frequent(prefixed.select("keys").mapInArrow(count, "fp bigint, n bigint"), postings, hot)
-
-
-def _bits(postings: int) -> int:
-    return max(3, int(np.ceil(np.log2(max(1, postings) / BUCKET)))) if postings > BUCKET else 3
-
-
-def _by_bucket(fps: np.ndarray, heavy: np.ndarray, bits: int, salt: int) -> np.ndarray:
-    """Bucket of each posting; those of frequent shingles are spread."""
-    bucket = (fps >> np.uint64(48 - bits)).astype(np.int32)
-    return np.where(heavy, (1 << bits) + (fps + np.uint64(salt)).astype(np.int64) % SPREAD, bucket).astype(np.int32)
+    return frequent_keys(prefixed.select("keys").mapInArrow(count, "fp bigint, n bigint"), postings, hot)
 
 
 def _counted(docs: DataFrame, frequent: np.ndarray, postings: int) -> DataFrame:
     """(batch, kind 1, a, b, c): for each batch the texts, their shingles that other texts have too, and the counts of these."""
-    shared, bits = docs.sparkSession.sparkContext.broadcast(frequent), _bits(postings)
+    shared, bits = docs.sparkSession.sparkContext.broadcast(frequent), bits_for(postings)
 
     def pack(batches):
         for batch in batches:
             for number, counts, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                fps, n = _restored(packed, np.uint64), np.frombuffer(counts, np.int32)
+                fps, n = restored(packed, np.uint64), np.frombuffer(counts, np.int32)
                 local = np.repeat(np.arange(len(n), dtype=np.uint16), n)
-                bucket = _by_bucket(fps, np.isin(fps, shared.value), bits, number)
+                bucket = by_bucket(fps, np.isin(fps, shared.value), bits, number)
                 order = np.lexsort((fps, bucket))
                 fps, local, bucket = fps[order], local[order], bucket[order]
                 starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
                 ends = np.append(starts[1:], len(fps))
-                rows = [bucket[starts], np.full(len(starts), number), *([_squeeze(x[a:b], rising) for a, b in zip(starts, ends, strict=True)] for x, rising in ((local, False), (fps, True)))]
+                rows = [bucket[starts], np.full(len(starts), number), *([squeeze(x[a:b], rising) for a, b in zip(starts, ends, strict=True)] for x, rising in ((local, False), (fps, True)))]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "batch", "a", "b"])
 
     def count(batches):
-        for bucket, parts in _grouped(batches):
+        for bucket, parts in grouped(batches):
             numbers = np.concatenate([p.column("batch").to_numpy() for p in parts])
-            local, fps = _column(parts, "a", np.uint16), _column(parts, "b", np.uint64, True)
+            local, fps = column(parts, "a", np.uint16), column(parts, "b", np.uint64, True)
             ends = np.cumsum([len(x) for x in fps])
             every = np.concatenate(fps)
             if bucket >> bits:
@@ -228,8 +143,8 @@ def _counted(docs: DataFrame, frequent: np.ndarray, postings: int) -> DataFrame:
             out = [[], [], []]
             for texts, own, times in zip(local, fps, np.split(df, ends[:-1]), strict=True):
                 kept = times > 1
-                for column, x, rising in zip(out, (texts, own, times), (False, True, False), strict=True):
-                    column.append(_squeeze(x[kept], rising))
+                for target, x, rising in zip(out, (texts, own, times), (False, True, False), strict=True):
+                    target.append(squeeze(x[kept], rising))
             yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array([1] * len(fps), pa.int32()), *(pa.array(x, pa.binary()) for x in out)], ["batch", "kind", "a", "b", "c"])
 
     sent = docs.select("batch", "counts", "fps").mapInArrow(pack, "bucket int, batch bigint, a binary, b binary")
@@ -246,14 +161,14 @@ def _prefixes(docs: DataFrame, counted: DataFrame, share: float) -> DataFrame:
     types = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
 
     def cut(batches):
-        for _, parts in _grouped(batches):
+        for _, parts in grouped(batches):
             info, rest = parts[0].slice(0, 1), [parts[0].slice(1), *parts[1:]]  # the texts of the batch come first
             ids, numbers = np.frombuffer(info.column("a")[0].as_py(), np.int64), info.column("b")[0].as_py()
             size, n = (np.frombuffer(numbers[4 * len(ids) * i : 4 * len(ids) * (i + 1)], np.int32) for i in range(2))
             same = numbers[8 * len(ids) :]
-            local = np.concatenate([np.zeros(0, np.int64), *_column(rest, "a", np.uint16)]).astype(np.int64)
+            local = np.concatenate([np.zeros(0, np.int64), *column(rest, "a", np.uint16)]).astype(np.int64)
             # An order key is the count of a shingle and, below it, the shingle.
-            keys = np.concatenate([np.zeros(0, np.uint64), *((df.astype(np.uint64) << np.uint64(48)) | fps for fps, df in zip(_column(rest, "b", np.uint64, True), _column(rest, "c", np.uint16), strict=True))])
+            keys = np.concatenate([np.zeros(0, np.uint64), *((df.astype(np.uint64) << np.uint64(48)) | fps for fps, df in zip(column(rest, "b", np.uint64, True), column(rest, "c", np.uint16), strict=True))])
             order = np.lexsort((keys, local))
             local, keys = local[order], keys[order]
             m = np.bincount(local, minlength=len(ids))
@@ -378,7 +293,7 @@ def _common(fp, ids, n, m, size, length, start, after, share: float, similarity:
 
 def _joined_prefixes(active: DataFrame, frequent: np.ndarray, postings: int, share: float, hot: int, similarity: float) -> DataFrame:
     """(a, b, n): distinct pairs of texts that pass the filters, with n = 0, and (text, shingle, n) of the hot runs."""
-    shared, bits = active.sparkSession.sparkContext.broadcast(frequent), _bits(postings)
+    shared, bits = active.sparkSession.sparkContext.broadcast(frequent), bits_for(postings)
 
     def pack(batches):
         for batch in batches:
@@ -390,7 +305,7 @@ def _joined_prefixes(active: DataFrame, frequent: np.ndarray, postings: int, sha
             keys, doc = np.frombuffer(b"".join(values), np.uint64), np.repeat(np.arange(len(ids)), length)
             ends = np.cumsum(length)
             fps = keys & np.uint64(BITS)
-            bucket = _by_bucket(fps, np.isin(fps, shared.value), bits, int(ids[0]) & 0xFFFF)
+            bucket = by_bucket(fps, np.isin(fps, shared.value), bits, int(ids[0]) & 0xFFFF)
             order = np.lexsort((fps, bucket))
             starts = np.flatnonzero(np.concatenate(([True], bucket[order][1:] != bucket[order][:-1])))
             rest = (ends[doc] - np.arange(len(keys)) - 1).astype(np.int32)  # keys that follow in the prefix
@@ -401,7 +316,7 @@ def _joined_prefixes(active: DataFrame, frequent: np.ndarray, postings: int, sha
                 d, r = doc[p], rest[p]
                 at = np.arange(r.sum()) + np.repeat(p + 1 - (np.cumsum(r) - r), r)
                 numbers = np.concatenate([size[d], n[d], m[d], r]).astype(np.int32)
-                rows.append((int(bucket[p[0]]), _squeeze(fps[p], True), _squeeze(ids[d]), _squeeze(numbers), _squeeze(short[at])))
+                rows.append((int(bucket[p[0]]), squeeze(fps[p], True), squeeze(ids[d]), squeeze(numbers), squeeze(short[at])))
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32()] + [pa.binary()] * 4, strict=True)], ["bucket", "fps", "ids", "numbers", "after"])
 
@@ -409,13 +324,13 @@ def _joined_prefixes(active: DataFrame, frequent: np.ndarray, postings: int, sha
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n.astype(np.int32))], ["a", "b", "n"])
 
     def read(batches):
-        for bucket, parts in _grouped(batches):
-            fps, ids = np.concatenate(_column(parts, "fps", np.uint64, True)), np.concatenate(_column(parts, "ids", np.int64))
-            size, n, m, length = np.concatenate([x.reshape(4, -1) for x in _column(parts, "numbers", np.int32)], 1).astype(np.int64)
+        for bucket, parts in grouped(batches):
+            fps, ids = np.concatenate(column(parts, "fps", np.uint64, True)), np.concatenate(column(parts, "ids", np.int64))
+            size, n, m, length = np.concatenate([x.reshape(4, -1) for x in column(parts, "numbers", np.int32)], 1).astype(np.int64)
             if bucket >> bits:
                 yield rows_of(ids, fps.astype(np.int64), n)
                 continue
-            start, after = np.cumsum(length) - length, np.concatenate(_column(parts, "after", np.uint16)).astype(np.uint64)
+            start, after = np.cumsum(length) - length, np.concatenate(column(parts, "after", np.uint16)).astype(np.uint64)
             order = np.lexsort((ids, fps))
             order = order[np.concatenate(([True], (fps[order][1:] != fps[order][:-1]) | (ids[order][1:] != ids[order][:-1])))]
             fps, ids, size, n, m, length, start = (x[order] for x in (fps, ids, size, n, m, length, start))
@@ -550,7 +465,7 @@ def near_duplicates(
     rows = df.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
     docs = materialize(packed_sets(rows, k, w, prepare), "docs")
     postings = docs.agg(F.coalesce(F.sum("postings"), F.lit(0))).first()[0]
-    prefixed = materialize(_prefixes(docs, _counted(docs, _heavy(docs, postings, hot), postings), share), "prefixed")
+    prefixed = materialize(_prefixes(docs, _counted(docs, heavy_keys(docs, postings, hot), postings), share), "prefixed")
     release(docs, shuffles=True)
     # Groups of identical prefix and size.
     alike = prefixed.groupBy("alike").agg(F.count("*").alias("n"), F.min(F.struct("id", "same")).alias("first")).filter("n > 1")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import components, language, leaks, mixture, names, neardup, plain, truncated, windows
+from palimpsest.plans.shared import materialize
 from palimpsest.sources import table
 
 
@@ -54,10 +55,10 @@ def p4_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _cut_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(field, id, cut, score, by) of every judged value of the three fields."""
     facts = table(spark, sf_dir, "chunk_facts")
-    outlines = truncated.causal_descriptions(table(spark, sf_dir, "chunk_results"))
-    fields = (("event", facts, "fact_id", "event"), ("evidence", facts, "fact_id", "evidence"), ("causal_description", outlines, "result_id", "description"))
-    parts = [truncated.find_cut(df, key, column, plain.plain).withColumn("field", F.lit(name)) for name, df, key, column in fields]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    outlines = materialize(truncated.causal_descriptions(table(spark, sf_dir, "chunk_results")), "outlines")
+    fields = [facts.select(F.lit(name).alias("field"), F.col("fact_id").alias("id"), F.col(name).alias("text")) for name in ("event", "evidence")]
+    fields.append(outlines.select(F.lit("causal_description").alias("field"), F.col("result_id").alias("id"), F.col("description").alias("text")))
+    return truncated.find_cut(fields[0].unionByName(fields[1]).unionByName(fields[2]), "id", "text", plain.plain, field="field")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

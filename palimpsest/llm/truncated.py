@@ -1,16 +1,20 @@
 """Values cut off by length limits or in transfer, and how often each source cuts.
 
 Near-copies are found by min-hash banding over whole values and over their heads, which a strongly cut value keeps.
-Values that agree in a band are compared with its longest member, and those that it doesn't decide with further members
-in rounds, until each value is decided or has met all longer members of its bands. Only a text that holds most of the
-value's wording counts as its copy. The end of a value is aligned within its longer copy: if the copy goes on inside
-the sentence, the value is cut; if the copy has a sentence end there, it is whole. Values that no copy decides are scored by the terminality of their last clause: a logistic model
-of how sentences end, fit on a bounded sample of the values themselves, whose inner sentence ends are the positive
-examples and whose inner clause ends and random places are the negative ones. Closing marks at the very end are
-ignored, as a mark set after a cut does not heal it.
+Values that agree in a band are compared with its longest members first, and those that these don't decide with further
+ones in rounds, until each value is decided or has met all members of its bands that are no shorter. Only a text that
+holds most of the value's token pairs is its copy. The end of a value is aligned within each copy: if the copy goes on
+inside the sentence, the value is cut; if the copy has a sentence end there, it is whole. Values that no copy decides
+are scored by the terminality of their last clause: a logistic model of how sentences end, fit on a bounded sample of
+the values themselves, whose inner sentence ends are the positive examples and whose inner clause ends and random
+places are the negative ones. Closing marks at the very end are ignored, as a mark set after a cut does not heal it.
+
+Values of several fields go through one pipeline; each field has its own bands and model. Bands travel packed
+(``packed``); those that hold a large part of the values are spread over many buckets, in each of which they have a
+longest member.
 
 Defined results: NULL and blank values and values without letters are not judged; an empty table gives empty results;
-long values are processed whole; a repeated key counts once.
+long values are processed whole; a repeated key counts once, and one with different values counts as each of them.
 """
 
 from __future__ import annotations
@@ -20,93 +24,157 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.neardup import SIMILARITY, _prepared, overlap, token_keys
-from palimpsest.llm.tokens import fingerprints, scramble, tokenize
+from palimpsest.llm.neardup import SIMILARITY, _prepared, _texts_of, overlap
+from palimpsest.llm.packed import BITS, bits_for, by_bucket, column, grouped, heavy_keys, often, restored, squeeze
+from palimpsest.llm.tokens import fingerprints, scramble, slices, tokenize
 from palimpsest.plans.shared import materialize, release
 
 #: Tokens of a shingle, bands and hashes of a band.
 K, BANDS, ROWS = 6, 12, 3
-#: Bands over the first shingles of a value alone, and how many shingles these are.
-HEADS, HEAD = 2, 6
-#: Each round of comparisons goes this many times as far down the bands as the one before.
-STEP = 8
-#: Values in the sample that the terminality model is fit on; it doesn't grow with the data.
+#: Bands over the first shingles of a value alone, how many shingles these are, and their tokens.
+HEADS, HEAD, HEAD_K = 2, 3, 12
+#: Members of each band that all others meet in the first round, and how many times as far each further round goes.
+FIRST, STEP = 16, 8
+#: A band of more values than this may be spread.
+HOT = 5000
+#: Values of each field in the sample that its terminality model is fit on; it doesn't grow with the data.
 SAMPLE = 20_000
 DIMENSIONS = 1 << 20
 #: A last clause that ends a sentence with less than this probability is cut.
 TERMINALITY = 0.1
+#: Letters at the end of a value that are aligned with a copy, and those of them that must be the same.
+TAIL, EXACT = 32, 4
 
 STRONG, WEAK = "。！？!?；;.…", "，,、：:"
 _CLAUSE = re.compile(f"[^{re.escape(STRONG + WEAK)}]+")
 _TAIL = re.compile(r"[\W_]+$")
 
 
-def ranked_bands(texts: DataFrame, prepare: Callable | None) -> DataFrame:
-    """(band, id, rank): the members of each band of two or more, from the longest one, which has rank 0."""
-
-    def bands(batches):
+def _bands(texts: list[str | None], salts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts with tokens, their numbers of tokens, and 48-bit band keys, one row for each of them."""
+    tokens = tokenize(texts)
+    fps, first = fingerprints(tokens, K, 1)
+    doc = tokens.doc[first]
+    if not len(doc):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BANDS + HEADS), np.uint64)
+    starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+    rows = doc[starts]
+    heads, first = fingerprints(tokens, HEAD_K, 1)
+    of_heads = tokens.doc[first]
+    begins = np.flatnonzero(np.concatenate(([True], of_heads[1:] != of_heads[:-1])))
+    late = np.arange(len(of_heads)) - np.repeat(begins, np.diff(np.append(begins, len(of_heads)))) >= HEAD
+    keys = []
+    with np.errstate(over="ignore"):
+        for b in range(BANDS + HEADS):
+            key = salts[rows] * np.uint64(31) + np.uint64(b)
+            for r in range(ROWS if b < BANDS else 1):
+                salt = scramble(np.array([b * ROWS + r + 1], np.uint64))
+                h = scramble((fps if b < BANDS else heads).view(np.uint64) ^ salt)
+                if b >= BANDS:
+                    h[late] = ~np.uint64(0)
+                key = scramble(key * np.uint64(31) + np.minimum.reduceat(h, starts if b < BANDS else begins))
+            keys.append(key & np.uint64(BITS))
+    return rows, np.bincount(tokens.doc, minlength=tokens.docs)[rows], np.stack(keys, 1)
+
+
+def _signed(texts: DataFrame, models, prepare: Callable | None) -> DataFrame:
+    """One row per batch: numbers of the texts with tokens, their sizes, band keys and terminality scores."""
+    names = ["postings", "uids", "sizes", "scores", "bands", "heavy"]
+
+    def sign(batches):
         for batch in batches:
-            tokens = tokenize(_prepared(batch.column(1).to_pylist(), prepare))
-            fps, first = fingerprints(tokens, K, 1)
-            doc = tokens.doc[first]
-            starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, int)
-            size = np.bincount(tokens.doc, minlength=tokens.docs)[doc[starts]].astype(np.int32)
-            head = np.arange(len(doc)) - np.repeat(starts, np.diff(np.append(starts, len(doc)))) < HEAD if len(doc) else np.zeros(0, bool)
-            keys = []
-            with np.errstate(over="ignore"):
-                for b in range(BANDS + HEADS):
-                    key = np.full(len(starts), b, np.uint64)
-                    for r in range(ROWS if b < BANDS else 1):
-                        salt = scramble(np.array([b * ROWS + r + 1], np.uint64))
-                        h = scramble(fps.view(np.uint64) ^ salt)
-                        if b >= BANDS:
-                            h = np.where(head, h, ~np.uint64(0))
-                        least = np.minimum.reduceat(h, starts) if len(starts) else key
-                        key = scramble(key * np.uint64(31) + least)
-                    keys.append(key.view(np.int64))
-            ids = np.tile(batch.column(0).to_numpy()[doc[starts]], BANDS + HEADS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(size, BANDS + HEADS)), pa.array(ids)], ["band", "size", "id"])
+            uids, fields, values = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), object), batch.column(2).to_pylist()
+            for a, b in slices(values, 2_000_000):
+                own = _prepared(values[a:b], prepare)
+                salts = np.frombuffer(pd.util.hash_array(fields[a:b], categorize=True).tobytes(), np.uint64)
+                rows, sizes, bands = _bands(own, salts)
+                if not len(rows):
+                    continue
+                scores = np.zeros(len(own))
+                for field in set(fields[a:b]):
+                    some = np.flatnonzero(fields[a:b] == field)
+                    scores[some] = models.value[field].score([own[i] for i in some])
+                out = [bands.size, *(x.tobytes() for x in (uids[a:b][rows].astype(np.int64), sizes.astype(np.int32), scores[rows])), squeeze(bands.ravel()), often(bands.ravel())]
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(out, [pa.int64()] + [pa.binary()] * 5, strict=True)], names)
+
+    return texts.select("uid", "field", "text").mapInArrow(sign, "postings bigint, uids binary, sizes binary, scores binary, bands binary, heavy binary")
+
+
+def _ranked(signed: DataFrame, hot: int) -> DataFrame:
+    """(band, uid, size, rank): the members of each band of two or more, the longest one first, with rank 0.
+
+    A band that holds a large part of all values is ranked in several parts.
+    """
+    postings = signed.agg(F.coalesce(F.sum("postings"), F.lit(0))).first()[0]
+    shared, bits = signed.sparkSession.sparkContext.broadcast(heavy_keys(signed, postings, hot)), bits_for(postings)
+
+    def pack(batches):
+        salt = TaskContext.get().partitionId() << 8
+        for batch in batches:
+            for uids, sizes, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                keys = restored(packed, np.uint64)
+                owner = np.repeat(np.arange(len(keys) // (BANDS + HEADS)), BANDS + HEADS)
+                bucket = by_bucket(keys, np.isin(keys, shared.value), bits, salt)
+                salt += 1
+                order = np.lexsort((keys, bucket))
+                keys, bucket, owner = keys[order], bucket[order], owner[order]
+                starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+                ends = np.append(starts[1:], len(keys))
+                uids, sizes = np.frombuffer(uids, np.int64)[owner], np.frombuffer(sizes, np.int32)[owner]
+                rows = [bucket[starts], *([squeeze(x[a:b], rising) for a, b in zip(starts, ends, strict=True)] for x, rising in ((keys, True), (uids, False), (sizes, False)))]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, [pa.int32()] + [pa.binary()] * 3, strict=True)], ["bucket", "bands", "uids", "sizes"])
 
     def rank(batches):
-        last, held = None, None  # band and rank of the row before; a first member of which no second one is known yet
-        for batch in batches:
-            band, ids = (batch.column(i).to_numpy() for i in (0, 2))
-            if not len(band):
-                continue
-            if held is not None:
-                band, ids, last = np.append(held[0], band), np.append(held[1], ids), None
-            new = np.concatenate(([last is None or band[0] != last[0]], band[1:] != band[:-1]))
-            place = np.arange(len(band))
-            start = np.maximum.accumulate(np.where(new, place, -1))
-            ranks = np.where(start >= 0, place - start, place + 1 + (last[1] if last else 0))
-            kept = (ranks > 0) | np.append(~new[1:], False)
-            last = (band[-1], int(ranks[-1]))
-            held = (band[-1], ids[-1]) if ranks[-1] == 0 else None
-            yield pa.RecordBatch.from_arrays([pa.array(band[kept]), pa.array(ids[kept]), pa.array(ranks[kept].astype(np.int64))], ["band", "id", "rank"])
-
-    rows = texts.select("id", "text").mapInArrow(bands, "band bigint, size int, id bigint")
-    runs = rows.repartition("band").sortWithinPartitions("band", F.desc("size"), "id")
-    return runs.mapInArrow(rank, "band bigint, id bigint, rank bigint")
-
-
-@lru_cache(maxsize=64)
+        for bucket, parts in grouped(batches):
+            keys, uids, sizes = (np.concatenate(column(parts, c, t, c == "bands")) for c, t in (("bands", np.uint64), ("uids", np.int64), ("sizes", np.int32)))
+            order = np.lexsort((uids, -sizes, keys))
+            keys, uids, sizes = keys[order], uids[order], sizes[order]
+            starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            runs = np.diff(np.append(starts, len(keys)))
+            place = np.arange(len(keys)) - np.repeat(starts, runs)
+            kept = (np.repeat(runs, runs) > 1) | bool(bucket >> bits)
+            columns = [keys[kept].astype(np.int64), uids[kept], sizes[kept], place[kept]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["band", "uid", "size", "rank"])
+
+    sent = signed.select("uids", "sizes", "bands").mapInArrow(pack, "bucket int, bands binary, uids binary, sizes binary")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(rank, "band bigint, uid bigint, size int, rank bigint")
+
+
+@lru_cache(maxsize=4096)
 def _letters(text: str) -> tuple[str, list[int]]:
     low = text.lower() if len(text.lower()) == len(text) else text
     at = [i for i, c in enumerate(low) if c.isalnum()]
     return "".join(low[i] for i in at), at
 
 
+def _aligned_end(tail: str, letters: str, most: float = 0.25) -> int:
+    """Where ``tail`` ends in ``letters`` at its best alignment, or -1 if it has more edits than ``most`` of it.
+
+    The last letters must be the same, so that an edit at the end itself aligns nowhere.
+    """
+    a, b = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in (tail, letters))
+    row = np.zeros(len(b) + 1, np.int32)  # the alignment may begin anywhere
+    place = np.arange(len(b) + 1)
+    for i, c in enumerate(a, 1):
+        best = np.concatenate(([i], np.minimum(row[1:] + 1, row[:-1] + (b != c))))
+        row = np.minimum.accumulate(best - place) + place
+    ends = [m.end() for m in re.finditer(f"(?={re.escape(tail[-EXACT:])})", letters)]
+    ends = [e + len(tail[-EXACT:]) for e in ends]
+    end = min(ends, key=lambda e: (int(row[e]), -e), default=-1)
+    return end if end >= 0 and row[end] <= most * len(a) else -1
+
+
 def ends_early(value: str, copy: str) -> int:
     """1 if the copy goes on inside the sentence where the value ends, -1 if a sentence ends there, 0 if undecided."""
-    # Most pairs end here: a last part of nine letters that the copy lacks settles both sizes.
     a, _ = _letters(value)
     b, at = _letters(copy)
-    if a[-9:] not in b:
-        return 0
+    end = -1
     for size in (14, 9):
         tail = a[-size:]
         if len(tail) < min(size, 6):
@@ -116,56 +184,53 @@ def ends_early(value: str, copy: str) -> int:
             found = b.find(tail)
         if found >= 0:
             end = found + len(tail)
-            if end == len(b):
-                return 0
-            between = copy[at[end - 1] + 1 : at[end]]
-            if not between.strip() or all(c in " -'’·" for c in between):
-                return 1
-            if any(c in STRONG for c in between):
-                return -1
-            return 0
-    return 0
+            break
+    if end < 0 and len(a) >= TAIL:
+        end = _aligned_end(a[-TAIL:], b)
+    if end < 0 or end == len(b):
+        return 0
+    between = copy[at[end - 1] + 1 : at[end]]
+    if not between.strip() or all(c in " -'’·" for c in between):
+        return 1
+    return -1 if any(c in STRONG for c in between) else 0
 
 
 def _votes(pairs: DataFrame, texts: DataFrame, prepare: Callable | None) -> DataFrame:
-    """(id, most, least) of the votes of the longer texts that hold most of the value's token pairs."""
+    """(uid, most, least) of the votes of the texts that hold most of the value's token pairs."""
 
     def align(batches):
         for batch in batches:
             values, copies = (_prepared(batch.column(i).to_pylist(), prepare) for i in (1, 2))
-            votes = np.array([ends_early(v, c) for v, c in zip(values, copies, strict=True)], np.int32)
-            some = np.flatnonzero(votes)
-            holds = overlap([values[i] for i in some], [copies[i] for i in some], of_left=True) >= SIMILARITY
-            some = some[holds]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.array(votes[some])], ["id", "vote"])
-
-    copies = texts.select(F.col("id").alias("longer"), F.col("text").alias("copy"))
-    joined = pairs.join(texts.select("id", "text"), "id").join(copies, "longer").select("id", "text", "copy")
-    return joined.mapInArrow(align, "id bigint, vote int").groupBy("id").agg(F.max("vote").alias("most"), F.min("vote").alias("least"))
-
-
-def _decided(texts: DataFrame, prepare: Callable | None) -> DataFrame:
-    """(id, vote) of the values whose copies agree, from rounds down the bands that end when no undecided value is left."""
-    ranked = materialize(ranked_bands(texts, prepare), "ranked")
-    low, high, votes = 0, 1, None
-    while True:
-        open_rows = ranked.filter(F.col("rank") > low)
+            some = np.flatnonzero(overlap(values, copies, of_left=True) >= SIMILARITY)
+            votes = np.array([ends_early(values[i], copies[i]) for i in some], np.int32)
+            some, votes = some[votes != 0], votes[votes != 0]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.array(votes)], ["uid", "vote"])
+
+    left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+    joined = pairs.join(left, "a").join(right, "b").select(F.col("a").alias("uid"), "ta", "tb")
+    return joined.mapInArrow(align, "uid bigint, vote int").groupBy("uid").agg(F.max("vote").alias("most"), F.min("vote").alias("least"))
+
+
+def _decided(signed: DataFrame, texts: DataFrame, prepare: Callable | None, hot: int) -> DataFrame:
+    """(uid, vote) of the values whose copies agree, from rounds down the bands that end with the longest of them."""
+    ranked = materialize(_ranked(signed, hot), "ranked")
+    top = ranked.agg(F.max("rank")).first()[0]
+    low, high, votes = 0, FIRST, None
+    while top is not None and low <= top:
+        value = ranked.select("band", F.col("uid").alias("a"), F.col("size").alias("own"))
         if votes is not None:
-            open_rows = open_rows.join(votes.select("id"), "id", "left_anti")
-        longer = ranked.filter((F.col("rank") >= low) & (F.col("rank") < high)).select("band", F.col("id").alias("longer"), F.col("rank").alias("above"))
-        met = open_rows.join(longer, "band").filter("above < rank and id <> longer")
-        pairs = materialize(met.select("id", "longer").distinct(), "pairs")
-        if pairs.isEmpty():
-            release(pairs)
-            break
-        found = materialize(_votes(pairs, texts, prepare), "votes")
+            value = value.join(votes.select(F.col("uid").alias("a")), "a", "left_anti")
+        longer = ranked.filter((F.col("rank") >= low) & (F.col("rank") < high)).select("band", F.col("uid").alias("b"), "size")
+        pairs = materialize(value.join(longer, "band").filter("own <= size and a <> b").select("a", "b").distinct(), "pairs")
+        wanted = _texts_of(pairs, texts.select(F.col("uid").alias("id"), "text"))
+        found = materialize(_votes(pairs, wanted, prepare), "votes")
         votes = found if votes is None else votes.unionByName(found)
-        release(pairs)
+        release(pairs, wanted)
         low, high = high, high * STEP
     release(ranked, shuffles=True)
     if votes is None:
-        return texts.limit(0).select("id", F.lit(0).alias("vote"))
-    return votes.filter("most = least").select("id", F.col("most").alias("vote"))
+        return signed.limit(0).select(F.lit(0).cast("bigint").alias("uid"), F.lit(0).alias("vote"))
+    return votes.filter("most = least").select("uid", F.col("most").alias("vote"))
 
 
 class Terminality:
@@ -271,29 +336,56 @@ class Terminality:
         return self._probability(rows, feats, len(values))
 
 
-def find_cut(df: DataFrame, key: str, text: str, prepare: Callable | None = None, sample: int = SAMPLE, threshold: float = TERMINALITY) -> DataFrame:
-    """(id, cut, score, by): every judged value; ``by`` says whether a copy or the last clause decided."""
-    rows = df.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    members = materialize(token_keys(rows, prepare).distinct(), "members")
-    firsts = members.groupBy("same").agg(F.min("id").alias("id"))
-    texts = materialize(rows.join(firsts, "id").dropDuplicates(["id"]), "texts")
-    number = texts.count()
-    votes = _decided(texts, prepare)
-    chosen = texts.filter(F.pmod(F.xxhash64("same"), F.lit(1_000_000)) < int(min(1.0, sample / max(1, number)) * 1_000_000))
-    model = Terminality([p for p in _prepared([r.text for r in chosen.select("text").toLocalIterator()], prepare) if p])
-    shared = df.sparkSession.sparkContext.broadcast(model)
-
-    def score(batches):
+def _models(texts: DataFrame, sample: int, prepare: Callable | None) -> dict[str, Terminality]:
+    """A terminality model of each field, fit on the executors on about ``sample`` of its values."""
+    numbers = {r.field: r["count"] for r in texts.groupBy("field").count().collect()}
+    share = F.lit(0)
+    for field, number in numbers.items():
+        share = F.when(F.col("field") == field, int(min(1.0, sample / number) * 1_000_000)).otherwise(share)
+    chosen = texts.filter(F.pmod(F.col("h"), F.lit(1_000_000)) < share).select("field", "h", "text")
+
+    def fit(table: pa.Table) -> pa.Table:
+        values = _prepared(table.sort_by("h")["text"].to_pylist(), prepare)
+        model = Terminality([v for v in values if v])
+        used = np.flatnonzero(model.weights)
+        packed = [x.tobytes() for x in (model.known, used.astype(np.int64), model.weights[used])]
+        return pa.table({"field": [table["field"][0].as_py()], **{n: pa.array([x], pa.binary()) for n, x in zip(("known", "at", "weights"), packed, strict=True)}})
+
+    models = {field: Terminality([]) for field in numbers}
+    for row in chosen.groupBy("field").applyInArrow(fit, "field string, known binary, at binary, weights binary").collect():
+        model = models[row.field]
+        model.known = np.frombuffer(row.known, np.uint64)
+        model.weights[np.frombuffer(row.at, np.int64)] = np.frombuffer(row.weights)
+    return models
+
+
+def find_cut(
+    df: DataFrame, key: str, text: str, prepare: Callable | None = None, sample: int = SAMPLE, threshold: float = TERMINALITY, field: str | None = None, hot: int = HOT
+) -> DataFrame:
+    """(field, id, cut, score, by): every judged value; ``by`` says whether a copy or the last clause decided.
+
+    Values are compared with others of the same ``field`` only; without it all rows are of one field.
+    """
+    named = F.coalesce(F.col(field).cast("string"), F.lit("")) if field else F.lit("")
+    rows = df.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(named.alias("field"), F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
+    hashes = [F.xxhash64("text").alias("h"), F.xxhash64(F.lit("second"), "text").alias("g")]
+    # Numbers are fixed by writing the table.
+    texts = materialize(rows.select("field", "text").distinct().select("field", "text", *hashes, F.monotonically_increasing_id().alias("uid")), "values")
+    models = df.sparkSession.sparkContext.broadcast(_models(texts, sample, prepare))
+    signed = materialize(_signed(texts, models, prepare), "signed")
+    votes = _decided(signed, texts, prepare, hot)
+
+    def spread(batches):
         for batch in batches:
-            values = _prepared(batch.column(1).to_pylist(), prepare)
-            scores = shared.value.score(values) if values else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), batch.column(2)], ["same", "score", "vote"])
+            for uids, scores in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(uids, np.int64)), pa.array(np.frombuffer(scores))], ["uid", "score"])
 
-    voted = texts.join(votes, "id", "left").select("same", "text", "vote")
-    judged = voted.mapInArrow(score, "same binary, score double, vote int")
+    scored = signed.select("uids", "scores").mapInArrow(spread, "uid bigint, score double").join(votes, "uid", "left")
     cut = F.when(F.col("vote").isNotNull(), F.col("vote") > 0).otherwise(F.col("score") < threshold)
-    judged = judged.select("same", cut.alias("cut"), "score", F.when(F.col("vote").isNotNull(), "copy").otherwise("clause").alias("by"))
-    return members.join(judged, "same").select("id", "cut", "score", "by")
+    judged = scored.select("uid", cut.alias("cut"), "score", F.when(F.col("vote").isNotNull(), "copy").otherwise("clause").alias("by"))
+    judged = judged.join(texts.select("field", "h", "g", "uid"), "uid").drop("uid")
+    members = rows.select("field", "id", *hashes).distinct()
+    return members.join(judged, ["field", "h", "g"]).select("field", "id", "cut", "score", "by")
 
 
 def causal_descriptions(results: DataFrame) -> DataFrame:
@@ -315,5 +407,3 @@ def causal_descriptions(results: DataFrame) -> DataFrame:
 
     chosen = results.filter("outline_architecture is not null").select("result_id", "source", "outline_architecture")
     return chosen.mapInArrow(read, "result_id bigint, source string, description string")
-
-
