@@ -190,8 +190,9 @@ def ends_early(value: str, copy: str) -> int:
     if end < 0 or end == len(b):
         return 0
     between = copy[at[end - 1] + 1 : at[end]]
-    if not between.strip() or all(c in " -'’·" for c in between):
-        return 1
+    if all(c.isspace() or c in "-'’·" for c in between):
+        # Where words aren't spaced, a space stands for a mark that may end the sentence.
+        return 0 if between and "\u2e80" <= b[end - 1] and "\u2e80" <= b[end] else 1
     return -1 if any(c in STRONG for c in between) else 0
 
 
