@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.neardup import SIMILARITY, _prepared, _texts_of, overlap
+from palimpsest.llm.neardup import SIMILARITY, _prepared, _same, overlap
 from palimpsest.llm.packed import BITS, bits_for, by_bucket, column, grouped, heavy_keys, often, restored, squeeze
 from palimpsest.llm.tokens import fingerprints, scramble, slices, tokenize
 from palimpsest.plans.shared import materialize, release
@@ -56,13 +56,13 @@ _CLAUSE = re.compile(f"[^{re.escape(STRONG + WEAK)}]+")
 _TAIL = re.compile(r"[\W_]+$")
 
 
-def _bands(texts: list[str | None], salts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts with tokens, their numbers of tokens, and 48-bit band keys, one row for each of them."""
+def _bands(texts: list[str | None], salts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts with tokens, a number that is equal for equal tokens, numbers of tokens, and 48-bit band keys in a row for each."""
     tokens = tokenize(texts)
     fps, first = fingerprints(tokens, K, 1)
     doc = tokens.doc[first]
     if not len(doc):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BANDS + HEADS), np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, BANDS + HEADS), np.uint64)
     starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
     rows = doc[starts]
     heads, first = fingerprints(tokens, HEAD_K, 1)
@@ -80,12 +80,18 @@ def _bands(texts: list[str | None], salts: np.ndarray) -> tuple[np.ndarray, np.n
                     h[late] = ~np.uint64(0)
                 key = scramble(key * np.uint64(31) + np.minimum.reduceat(h, starts if b < BANDS else begins))
             keys.append(key & np.uint64(BITS))
-    return rows, np.bincount(tokens.doc, minlength=tokens.docs)[rows], np.stack(keys, 1)
+    both = _same(tokens, rows)
+    with np.errstate(over="ignore"):
+        same = scramble(both[:, 0] ^ scramble(both[:, 1] + salts[rows]))
+    return rows, same, np.bincount(tokens.doc, minlength=tokens.docs)[rows], np.stack(keys, 1)
 
 
 def _signed(texts: DataFrame, models, prepare: Callable | None) -> DataFrame:
-    """One row per batch: numbers of the texts with tokens, their sizes, band keys and terminality scores."""
-    names = ["postings", "uids", "sizes", "scores", "bands", "heavy"]
+    """One row per batch: the texts with tokens, their sizes, band keys and terminality scores.
+
+    ``same`` is equal for the texts of one field with equal tokens, whose ends need to be looked for only once.
+    """
+    names = ["postings", "uids", "same", "sizes", "scores", "bands", "heavy"]
 
     def sign(batches):
         for batch in batches:
@@ -93,21 +99,21 @@ def _signed(texts: DataFrame, models, prepare: Callable | None) -> DataFrame:
             for a, b in slices(values, 2_000_000):
                 own = _prepared(values[a:b], prepare)
                 salts = np.frombuffer(pd.util.hash_array(fields[a:b], categorize=True).tobytes(), np.uint64)
-                rows, sizes, bands = _bands(own, salts)
+                rows, same, sizes, bands = _bands(own, salts)
                 if not len(rows):
                     continue
                 scores = np.zeros(len(own))
                 for field in set(fields[a:b]):
                     some = np.flatnonzero(fields[a:b] == field)
                     scores[some] = models.value[field].score([own[i] for i in some])
-                out = [bands.size, *(x.tobytes() for x in (uids[a:b][rows].astype(np.int64), sizes.astype(np.int32), scores[rows])), squeeze(bands.ravel()), often(bands.ravel())]
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(out, [pa.int64()] + [pa.binary()] * 5, strict=True)], names)
+                out = [bands.size, *(x.tobytes() for x in (uids[a:b][rows].astype(np.int64), same, sizes.astype(np.int32), scores[rows])), squeeze(bands.ravel()), often(bands.ravel())]
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(out, [pa.int64()] + [pa.binary()] * 6, strict=True)], names)
 
-    return texts.select("uid", "field", "text").mapInArrow(sign, "postings bigint, uids binary, sizes binary, scores binary, bands binary, heavy binary")
+    return texts.select("uid", "field", "text").mapInArrow(sign, "postings bigint, uids binary, same binary, sizes binary, scores binary, bands binary, heavy binary")
 
 
 def _ranked(signed: DataFrame, hot: int) -> DataFrame:
-    """(band, uid, size, rank): the members of each band of two or more, the longest one first, with rank 0.
+    """(band, id, size, rank): the members of each band of two or more, the longest one first, with rank 0.
 
     A band that holds a large part of all values is ranked in several parts.
     """
@@ -117,7 +123,7 @@ def _ranked(signed: DataFrame, hot: int) -> DataFrame:
     def pack(batches):
         salt = TaskContext.get().partitionId() << 8
         for batch in batches:
-            for uids, sizes, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for ids, sizes, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 keys = restored(packed, np.uint64)
                 owner = np.repeat(np.arange(len(keys) // (BANDS + HEADS)), BANDS + HEADS)
                 bucket = by_bucket(keys, np.isin(keys, shared.value), bits, salt)
@@ -126,24 +132,25 @@ def _ranked(signed: DataFrame, hot: int) -> DataFrame:
                 keys, bucket, owner = keys[order], bucket[order], owner[order]
                 starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
                 ends = np.append(starts[1:], len(keys))
-                uids, sizes = np.frombuffer(uids, np.int64)[owner], np.frombuffer(sizes, np.int32)[owner]
-                rows = [bucket[starts], *([squeeze(x[a:b], rising) for a, b in zip(starts, ends, strict=True)] for x, rising in ((keys, True), (uids, False), (sizes, False)))]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, [pa.int32()] + [pa.binary()] * 3, strict=True)], ["bucket", "bands", "uids", "sizes"])
+                ids, sizes = np.frombuffer(ids, np.int64)[owner], np.frombuffer(sizes, np.int32)[owner]
+                rows = [bucket[starts], *([squeeze(x[a:b], rising) for a, b in zip(starts, ends, strict=True)] for x, rising in ((keys, True), (ids, False), (sizes, False)))]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, [pa.int32()] + [pa.binary()] * 3, strict=True)], ["bucket", "bands", "ids", "sizes"])
 
     def rank(batches):
         for bucket, parts in grouped(batches):
-            keys, uids, sizes = (np.concatenate(column(parts, c, t, c == "bands")) for c, t in (("bands", np.uint64), ("uids", np.int64), ("sizes", np.int32)))
-            order = np.lexsort((uids, -sizes, keys))
-            keys, uids, sizes = keys[order], uids[order], sizes[order]
+            keys, ids, sizes = (np.concatenate(column(parts, c, t, c == "bands")) for c, t in (("bands", np.uint64), ("ids", np.int64), ("sizes", np.int32)))
+            order = np.lexsort((ids, -sizes, keys))
+            order = order[np.concatenate(([True], (np.diff(keys[order]) != 0) | (np.diff(ids[order]) != 0)))]
+            keys, ids, sizes = keys[order], ids[order], sizes[order]
             starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
             runs = np.diff(np.append(starts, len(keys)))
             place = np.arange(len(keys)) - np.repeat(starts, runs)
             kept = (np.repeat(runs, runs) > 1) | bool(bucket >> bits)
-            columns = [keys[kept].astype(np.int64), uids[kept], sizes[kept], place[kept]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["band", "uid", "size", "rank"])
+            columns = [keys[kept].astype(np.int64), ids[kept], sizes[kept], place[kept]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["band", "id", "size", "rank"])
 
-    sent = signed.select("uids", "sizes", "bands").mapInArrow(pack, "bucket int, bands binary, uids binary, sizes binary")
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(rank, "band bigint, uid bigint, size int, rank bigint")
+    sent = signed.select("same", "sizes", "bands").mapInArrow(pack, "bucket int, bands binary, ids binary, sizes binary")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(rank, "band bigint, id bigint, size int, rank bigint")
 
 
 @lru_cache(maxsize=4096)
@@ -197,7 +204,7 @@ def ends_early(value: str, copy: str) -> int:
 
 
 def _votes(pairs: DataFrame, texts: DataFrame, prepare: Callable | None) -> DataFrame:
-    """(uid, most, least) of the votes of the texts that hold most of the value's token pairs."""
+    """(id, most, least) of the votes of the texts that hold most of the value's token pairs."""
 
     def align(batches):
         for batch in batches:
@@ -205,33 +212,35 @@ def _votes(pairs: DataFrame, texts: DataFrame, prepare: Callable | None) -> Data
             some = np.flatnonzero(overlap(values, copies, of_left=True) >= SIMILARITY)
             votes = np.array([ends_early(values[i], copies[i]) for i in some], np.int32)
             some, votes = some[votes != 0], votes[votes != 0]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.array(votes)], ["uid", "vote"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.array(votes)], ["id", "vote"])
 
     left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    joined = pairs.join(left, "a").join(right, "b").select(F.col("a").alias("uid"), "ta", "tb")
-    return joined.mapInArrow(align, "uid bigint, vote int").groupBy("uid").agg(F.max("vote").alias("most"), F.min("vote").alias("least"))
+    joined = pairs.join(left, "a").join(right, "b").select(F.col("a").alias("id"), "ta", "tb")
+    return joined.mapInArrow(align, "id bigint, vote int").groupBy("id").agg(F.max("vote").alias("most"), F.min("vote").alias("least"))
 
 
-def _decided(signed: DataFrame, texts: DataFrame, prepare: Callable | None, hot: int) -> DataFrame:
-    """(uid, vote) of the values whose copies agree, from rounds down the bands that end with the longest of them."""
+def _decided(signed: DataFrame, known: DataFrame, texts: DataFrame, prepare: Callable | None, hot: int) -> DataFrame:
+    """(id, vote) of the values whose copies agree, from rounds down the bands that end with the longest of them."""
     ranked = materialize(_ranked(signed, hot), "ranked")
     top = ranked.agg(F.max("rank")).first()[0]
+    first = known.groupBy("id").agg(F.min("uid").alias("uid"))
     low, high, votes = 0, FIRST, None
     while top is not None and low <= top:
-        value = ranked.select("band", F.col("uid").alias("a"), F.col("size").alias("own"))
+        value = ranked.select("band", F.col("id").alias("a"), F.col("size").alias("own"))
         if votes is not None:
-            value = value.join(votes.select(F.col("uid").alias("a")), "a", "left_anti")
-        longer = ranked.filter((F.col("rank") >= low) & (F.col("rank") < high)).select("band", F.col("uid").alias("b"), "size")
+            value = value.join(votes.select(F.col("id").alias("a")), "a", "left_anti")
+        longer = ranked.filter((F.col("rank") >= low) & (F.col("rank") < high)).select("band", F.col("id").alias("b"), "size")
         pairs = materialize(value.join(longer, "band").filter("own <= size and a <> b").select("a", "b").distinct(), "pairs")
-        wanted = _texts_of(pairs, texts.select(F.col("uid").alias("id"), "text"))
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        wanted = materialize(texts.select("uid", "text").join(first.join(ids, "id", "left_semi"), "uid").select("id", "text"), "texts")
         found = materialize(_votes(pairs, wanted, prepare), "votes")
         votes = found if votes is None else votes.unionByName(found)
         release(pairs, wanted)
         low, high = high, high * STEP
     release(ranked, shuffles=True)
     if votes is None:
-        return signed.limit(0).select(F.lit(0).cast("bigint").alias("uid"), F.lit(0).alias("vote"))
-    return votes.filter("most = least").select("uid", F.col("most").alias("vote"))
+        return known.limit(0).select("id", F.lit(0).alias("vote"))
+    return votes.filter("most = least").select("id", F.col("most").alias("vote"))
 
 
 class Terminality:
@@ -374,14 +383,14 @@ def find_cut(
     texts = materialize(rows.select("field", "text").distinct().select("field", "text", *hashes, F.monotonically_increasing_id().alias("uid")), "values")
     models = df.sparkSession.sparkContext.broadcast(_models(texts, sample, prepare))
     signed = materialize(_signed(texts, models, prepare), "signed")
-    votes = _decided(signed, texts, prepare, hot)
 
     def spread(batches):
         for batch in batches:
-            for uids, scores in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(uids, np.int64)), pa.array(np.frombuffer(scores))], ["uid", "score"])
+            for value in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(v, t)) for v, t in zip(value, (np.int64, np.int64, np.float64), strict=True)], ["uid", "id", "score"])
 
-    scored = signed.select("uids", "scores").mapInArrow(spread, "uid bigint, score double").join(votes, "uid", "left")
+    known = signed.select("uids", "same", "scores").mapInArrow(spread, "uid bigint, id bigint, score double")
+    scored = known.join(_decided(signed, known, texts, prepare, hot), "id", "left")
     cut = F.when(F.col("vote").isNotNull(), F.col("vote") > 0).otherwise(F.col("score") < threshold)
     judged = scored.select("uid", cut.alias("cut"), "score", F.when(F.col("vote").isNotNull(), "copy").otherwise("clause").alias("by"))
     judged = judged.join(texts.select("field", "h", "g", "uid"), "uid").drop("uid")
