@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.neardup import SIMILARITY, _prepared, _same, overlap
 from palimpsest.llm.packed import BITS, bits_for, by_bucket, column, grouped, heavy_keys, often, restored, squeeze
-from palimpsest.llm.tokens import fingerprints, scramble, slices, tokenize
+from palimpsest.llm.tokens import Tokens, fingerprints, scramble, slices, tokenize
 from palimpsest.plans.shared import materialize, release
 
-#: Tokens of a shingle, bands and hashes of a band.
-K, BANDS, ROWS = 6, 12, 3
-#: Bands over the first shingles of a value alone, how many shingles these are, and their tokens.
-HEADS, HEAD, HEAD_K = 2, 3, 12
+#: Tokens of a shingle in scripts without spaces and in words, bands and hashes of a band.
+K, WORDS_K, BANDS, ROWS = 9, 6, 12, 3
+#: Bands over the first shingles of a value alone, how many shingles these are, and their tokens as above.
+HEADS, HEAD, HEAD_K, HEAD_WORDS_K = 2, 3, 12, 8
 #: Members of each band that all others meet in the first round, and how many times as far each further round goes.
 FIRST, STEP = 16, 8
 #: A band of more values than this may be spread.
@@ -56,17 +56,28 @@ _CLAUSE = re.compile(f"[^{re.escape(STRONG + WEAK)}]+")
 _TAIL = re.compile(r"[\W_]+$")
 
 
+def _shingled(tokens: Tokens, characters: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes and their documents; texts whose tokens are mostly single characters have shingles of another length."""
+    dense = np.bincount(tokens.doc, weights=tokens.end - tokens.start == 1, minlength=tokens.docs) * 2 > np.bincount(tokens.doc, minlength=tokens.docs)
+    parts = []
+    for k, own in ((characters, True), (words, False)):
+        fps, first = fingerprints(tokens, k, 1)
+        kept = dense[tokens.doc[first]] == own
+        parts.append((fps[kept], tokens.doc[first][kept]))
+    fps, doc = (np.concatenate([p[i] for p in parts]) for i in range(2))
+    order = np.argsort(doc, kind="stable")
+    return fps[order], doc[order]
+
+
 def _bands(texts: list[str | None], salts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Texts with tokens, a number that is equal for equal tokens, numbers of tokens, and 48-bit band keys in a row for each."""
     tokens = tokenize(texts)
-    fps, first = fingerprints(tokens, K, 1)
-    doc = tokens.doc[first]
+    fps, doc = _shingled(tokens, K, WORDS_K)
     if not len(doc):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, BANDS + HEADS), np.uint64)
     starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
     rows = doc[starts]
-    heads, first = fingerprints(tokens, HEAD_K, 1)
-    of_heads = tokens.doc[first]
+    heads, of_heads = _shingled(tokens, HEAD_K, HEAD_WORDS_K)
     begins = np.flatnonzero(np.concatenate(([True], of_heads[1:] != of_heads[:-1])))
     late = np.arange(len(of_heads)) - np.repeat(begins, np.diff(np.append(begins, len(of_heads)))) >= HEAD
     keys = []
