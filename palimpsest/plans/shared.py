@@ -15,26 +15,28 @@ _own_folder: str | None = None
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as in local tests, a folder of this
-    process is made.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset and the master is local, as in tests, a
+    folder of this process is made; a cluster must name one.
     """
     global _own_folder
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="palimpsest-")
     return _own_folder
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` as parquet to the shared folder and read it back.
+def materialize(df: DataFrame, name: str = "table", parts: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as parquet to the shared folder, one table per value of ``parts``, and read it back.
 
     This cuts the lineage: a lost executor costs a read, not a recomputation, and an iterative plan stays short.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/palimpsest/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*parts or []).parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written.written_path = path
     return written

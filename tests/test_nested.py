@@ -1,6 +1,6 @@
 import json
 
-from palimpsest.operators.nested import flatten_nested, shape_of, subtype_table, variants
+from palimpsest.operators.nested import flatten_nested, refused, route, shape_of, state_of, subtype_table, subtypes, variants
 
 DOCS = [
     (1, json.dumps({"a": {"xs": [{"k": "v", "ys": ["p", None, "q"]}, None, "bare"]}, "other": {"zs": [1]}})),
@@ -50,3 +50,28 @@ def test_subtypes_keep_keys(spark):
 def test_shapes_do_not_depend_on_key_order():
     assert shape_of({"a": 1, "b": ["x", {"c": 1}]}) == shape_of({"b": [{"d": 2}, "y"], "a": 2.5})
     assert shape_of({"a": 1}) != shape_of({"a": "1"})
+
+
+def test_states_tell_structures_apart_at_every_depth():
+    assert state_of({"a": [{"x": 1}]}) != state_of({"a": [{"x": "s"}]})
+    assert state_of({"a": {"x": 1}}) != state_of({"a": {"y": "s"}})
+    assert state_of({"a": [{"x": 1}, {"x": 2}], "b": None}) == state_of({"b": None, "a": [{"x": 3}]})
+    assert state_of([[[]]]) == "[[[]]]"
+
+
+def test_routed_tables_hold_every_element(spark):
+    elements = rows(spark, DOCS[:7])
+    routed = route(elements)
+    keys = ["id", "parent_path", "child_path"]
+    assert sorted(map(tuple, subtypes(routed, "id").select(keys).collect())) == sorted(map(tuple, elements.select(keys).collect()))
+    assert {r.subtype for r in routed.select("subtype").distinct().collect()} == {"a.xs/object", "a.xs/text", "a.xs[].ys/text"}
+    assert {(r.id, r.k) for r in subtype_table(routed, "id", "a.xs", {"k": "int"}).collect()} == {(1, None), (2, 3)}
+
+
+def test_too_deep_documents_are_named(spark):
+    deep = '{"a": ' + "[" * 200_000 + "]" * 200_000 + "}"
+    far = '{"a": ' + "[" * 500 + '"x"' + "]" * 500 + "}"
+    df = spark.createDataFrame([(1, deep), (2, "{broken"), (3, None), (4, far)], "id long, doc string")
+    assert {tuple(r) for r in refused(df, "id", "doc").collect()} == {(1, "too deep"), (2, "no JSON")}
+    got = flatten_nested(df, "id", "doc", ("a",)).collect()
+    assert [(r.id, r.child_path) for r in got] == [(4, "a" + "[0]" * 500)]
