@@ -80,12 +80,20 @@ def readability(df: DataFrame, key: str, text: str, pack: LanguagePack = NOVEL)
     return scored.select(key, "n_sentences", "mean_x100", "std_x100", "n_long", "dialogue_bp", "connective_bp", "unique_bp", "index_x10", grade.alias("grade"), size.alias("confidence"))
 
 
+# Marks between the sentences whose mean length the writing score looks at.
+SENTENCE = r"[^。！？!?…\s\x{3000}](?:[^。！？!?…]*[^。！？!?…\s\x{3000}])?"
+
+
 def texture(df: DataFrame, key: str, text: str, pack: LanguagePack = NOVEL) -> DataFrame:
-    """Template words, dialogue, exclamations and ellipses, and the writing and emotion scores built on them (x10)."""
+    """Template words, dialogue, exclamations, ellipses and mean sentence length, and the writing and emotion scores (x10)."""
     t = F.col("__t")
     words = [w for group in pack.templates.values() for w in group]
-    rows = readable(df, text).select(
+    # Sentences without the white space around them; those of one or two characters don't count.
+    lengths = F.filter(F.transform(F.regexp_extract_all(t, F.lit(SENTENCE), F.lit(0)), F.length), lambda n: n > 2)
+    sized = readable(df, text).withColumn("__n", lengths)
+    rows = sized.select(
         key,
+        F.when(F.size("__n") > 0, F.floor(F.aggregate("__n", F.lit(0), lambda a, n: a + n) * 10 / F.size("__n") + 0.5)).otherwise(0).cast("bigint").alias("sentence_x10"),
         basis_points(total_occurrences(t, words), F.length(t)).alias("template_bp"),
         basis_points(quoted_length(t, pack), F.length(t)).alias("dialogue_bp"),
         basis_points(F.regexp_count(t, F.lit("[！!]")), F.length(t)).alias("exclaim_bp"),
@@ -94,6 +102,7 @@ def texture(df: DataFrame, key: str, text: str, pack: LanguagePack = NOVEL) -> D
     )
     density, unique, exclaim = F.col("template_bp"), F.col("unique_bp"), F.col("exclaim_bp")
     writing = 70 + F.when(density > 30, -25).when(density > 15, -15).when(density > 8, -8).when(density < 3, 5).otherwise(0) + F.when(unique > 2500, 5).when(unique < 1200, -10).otherwise(0)
+    writing = writing + F.when(F.col("sentence_x10") > 500, -8).when(F.col("sentence_x10").between(150, 400), 3).otherwise(0)
     emotion = 60 + F.when(exclaim.between(5, 25), 15).when(exclaim > 40, -10).when(exclaim < 2, -5).otherwise(0) + F.when(density > 20, -10).otherwise(0)
     return rows.select("*", F.least(F.lit(100), F.greatest(F.lit(10), writing)).alias("writing_x10"), F.least(F.lit(100), F.greatest(F.lit(10), emotion)).alias("emotion_x10"))
 

@@ -133,15 +133,25 @@ def length_chunks_of(text: str, size: int, look: int = 500) -> list[tuple[int, i
 
 
 def halves_of(text: str) -> list[tuple[int, int]]:
-    """Two parts, cut after the line break or full stop nearest to the middle."""
+    """Two parts, cut before the line break or full stop nearest to the middle; of equal ones a line break, then the first."""
     middle = len(text) // 2
-    cuts = [p + 1 for p in (text.rfind("\n", 0, middle), text.find("\n", middle), text.rfind("。", 0, middle), text.find("。", middle)) if p > 0 and p + 1 < len(text)]
-    cut = min(cuts, key=lambda c: (abs(c - middle), c), default=middle)
+    marks = ((abs(m.start() - middle), m.group() != "\n", m.start()) for m in re.finditer("[\n。]", text))
+    cut = min((m for m in marks if 0 < m[2] < len(text) - 1), default=(0, False, middle))[2]
     return [(0, cut), (cut, len(text))] if 0 < cut < len(text) else [(0, len(text))]
 
 
+def stripped_span(text: str, start: int, end: int) -> tuple[int, int]:
+    """The span without the white space at its ends; an empty one if there is nothing else."""
+    part = text[start:end]
+    start += len(part) - len(part.lstrip())
+    return start, start + len(part.strip())
+
+
 def chunk_table(df: DataFrame, key: str, text: str, mode: str = "fixed", size: int = 6000, overlap: int = 500, pack: LanguagePack = NOVEL) -> DataFrame:
-    """(key, chunk_index from 1, core_start, core_end, window_start, window_end) of each document."""
+    """(key, chunk_index from 1, core_start, core_end, window_start, window_end) of each document.
+
+    The cores of halves are stripped of white space.
+    """
     heading = re.compile(pack.heading)
     kind = df.schema[key].dataType.simpleString()
 
@@ -151,8 +161,9 @@ def chunk_table(df: DataFrame, key: str, text: str, mode: str = "fixed", size: i
             return fixed_chunks_of(value, size, overlap)
         if mode == "semantic":
             return semantic_chunks_of(value, size, overlap, heading)
-        spans = length_chunks_of(value, size) if mode == "length" else halves_of(value)
-        return [(a, b, a, b) for a, b in spans]
+        if mode == "halves":
+            return [(*stripped_span(value, a, b), a, b) for a, b in halves_of(value)]
+        return [(a, b, a, b) for a, b in length_chunks_of(value, size)]
 
     if mode not in ("fixed", "semantic", "length", "halves"):
         raise ValueError(f"no such mode: {mode}")

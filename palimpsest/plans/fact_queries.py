@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.jsontext import lenient_json
+from palimpsest.functions.jsontext import json_diagnosis, lenient_json
 from palimpsest.functions.names import fragments, split_names
 from palimpsest.functions.packs import NOVEL
 from palimpsest.functions.text import core_name, count_present, jaccard, ngram_set, ngrams, normalize_newlines, normalize_person, strip, text_hash
@@ -217,12 +217,25 @@ def tfidf_cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("item_a", "item_b", "shared", F.floor(F.col("shared") * F.col("shared") * 1_000_000 / (F.col("na") * F.col("nb"))).cast("bigint").alias("cosine2_ppm")).filter("shared >= 5")
 
 
-def json_lenient_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How the outlines parse, as they are and with a wide-mark, fenced or cut copy."""
+def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outlines as they are, or fenced, cut, or with full-width marks outside and inside strings."""
     rows = table(spark, sf_dir, "chunk_results").dropDuplicates(["result_id"]).select("result_id", F.col("outline_architecture").alias("o"))
-    damaged = F.when(F.col("result_id") % 4 == 1, F.concat(F.lit("```json\n"), "o", F.lit("\n```"))).when(F.col("result_id") % 4 == 2, F.expr("substring(o, 1, cast(length(o) / 2 as int))")).otherwise(F.col("o"))
-    parsed = rows.select("result_id", lenient_json(damaged).alias("p"))
-    return parsed.select("result_id", "p.how", F.length("p.json").alias("n_chars"))
+    kind = F.col("result_id") % 4
+    wide = F.concat(F.lit("｛\"a，b\"：\"他说，走：吧\"，\"o\"："), "o", F.lit("｝"))
+    damaged = F.when(kind == 1, F.concat(F.lit("```json\n"), "o", F.lit("\n```"))).when(kind == 2, F.expr("substring(o, 1, cast(length(o) / 2 as int))")).when(kind == 3, wide)
+    return rows.select("result_id", damaged.otherwise(F.col("o")).alias("o"))
+
+
+def json_lenient_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How damaged outlines parse, and the hash of what they were repaired to."""
+    parsed = _damaged(spark, sf_dir).select("result_id", lenient_json("o").alias("p"))
+    return parsed.select("result_id", "p.how", F.length("p.json").alias("n_chars"), F.sha1("p.json").alias("hash"))
+
+
+def json_diagnosis_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with each damaged outline."""
+    rows = _damaged(spark, sf_dir).select("result_id", json_diagnosis("o").alias("d"))
+    return rows.select("result_id", "d.flags", "d.length", "d.braces", "d.brackets")
 
 
 def evidence_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,7 +294,7 @@ def name_list_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names typed as lists, taken apart: main name and aliases of a record joined as people join them."""
     listed = F.concat_ws("、", "main_name", "aliases")
     rows = table(spark, sf_dir, "alias_records").dropDuplicates(["record_id"]).select("record_id", split_names(listed).alias("names"))
-    return rows.select("record_id", F.size("names").alias("n"))
+    return rows.select("record_id", F.posexplode("names").alias("place", "name"))
 
 
 def entity_prescan_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -354,7 +367,7 @@ QUERIES = {
     for f in (
         keep_first_dedup, keep_last_n, checkpoint_delta_merge, knowledge_base_counts, fact_confidence_levels, valid_facts, contradiction_pairs, temporal_match_candidates, temporal_match_greedy,
         foreshadow_stats, neighbour_chunk_context, manifest_diff_reuse, manifest_diff_rescan, chunk_result_reuse, cooccurrence_proximity, cluster_overlaps, dimension_sets, partner_tristate_merge,
-        coverage_two_way, verdict_split, alias_components, typo_name_pairs, tfidf_cosine_pairs, json_lenient_parse, evidence_anchor, rolling_context_state, scan_memory_state,
+        coverage_two_way, verdict_split, alias_components, typo_name_pairs, tfidf_cosine_pairs, json_lenient_parse, json_diagnosis_flags, evidence_anchor, rolling_context_state, scan_memory_state,
         character_accumulation, segment_summaries, worker_blocks, evidence_fragments, name_list_split, entity_prescan_tokens, relation_edges, uncovered_keywords, outline_ends, book_timeline, key_scenes,
     )
 }

@@ -189,6 +189,7 @@ QUERIES = {
     )
 }
 
+_SPACE = " || ".join(f"chr({ord(c)})" for c in map(chr, range(1, 0x3001)) if c.isspace())
 _WORDS = [w for group in NOVEL.templates.values() for w in group]
 _PAIRS = [(c, w) for c, group in NOVEL.templates.items() for w in group]
 _CONNECTIVES = [w for group in NOVEL.connectives.values() for w in group]
@@ -268,15 +269,26 @@ SQL = {
         SELECT doc_id, n_sentences, mean_x100, std_x100, n_long, dialogue_bp, connective_bp, unique_bp, index_x10,
           CASE WHEN index_x10 >= 800 THEN 'easy' WHEN index_x10 >= 600 THEN 'normal' WHEN index_x10 >= 400 THEN 'patient' ELSE 'hard' END AS grade,
           CASE WHEN n_chars >= 100000 THEN 'high' WHEN n_chars >= 30000 THEN 'medium' ELSE 'low' END AS confidence FROM i""",
+    "halving_split": f"""
+        WITH d AS (SELECT doc_id, {T} AS t FROM documents WHERE text IS NOT NULL AND text <> ''),
+        m AS (SELECT *, list_filter(range(1, length(t) - 1), lambda i: substring(t, (i + 1)::INT, 1) IN (chr(10), '。')) AS p, length(t) // 2 AS mid FROM d),
+        c AS (SELECT doc_id, t, coalesce(list_sort(list_transform(p, lambda i: {{'far': abs(i - mid), 'stop': substring(t, (i + 1)::INT, 1) = '。', 'at': i}}))[1].at, mid) AS cut FROM m),
+        h AS (SELECT doc_id, t, unnest(CASE WHEN cut > 0 AND cut < length(t) THEN [1, 2] ELSE [1] END) AS chunk_index, cut FROM c),
+        s AS (SELECT doc_id, chunk_index, CASE WHEN chunk_index = 2 THEN cut ELSE 0 END AS lo, CASE WHEN chunk_index = 2 OR cut = 0 OR cut >= length(t) THEN length(t) ELSE cut END AS hi, t FROM h),
+        x AS (SELECT *, substring(t, (lo + 1)::INT, (hi - lo)::INT) AS part FROM s)
+        SELECT doc_id, chunk_index::INT AS chunk_index, (lo + length(part) - length(ltrim(part, {_SPACE})))::INT AS core_start,
+          (lo + length(part) - length(ltrim(part, {_SPACE})) + length(trim(part, {_SPACE})))::INT AS core_end FROM x""",
     "text_texture_metrics": f"""
         WITH r AS (SELECT doc_id, ({_count("t", _WORDS)}) * 10000 // length(t) AS template_bp,
             (length(t) - length(regexp_replace(t, '{_QUOTES}', '', 'g'))) * 10000 // length(t) AS dialogue_bp,
             len(regexp_extract_all(t, '[！!]')) * 10000 // length(t) AS exclaim_bp,
             len(regexp_extract_all(t, '…{{2,}}|。{{3,}}|\\.{{3,}}')) * 10000 // length(t) AS ellipsis_bp,
-            CASE WHEN length(t) > 100 THEN len(list_distinct(regexp_extract_all(t, '(?s).'))) * 10000 // length(t) ELSE 0 END AS unique_bp
+            CASE WHEN length(t) > 100 THEN len(list_distinct(regexp_extract_all(t, '(?s).'))) * 10000 // length(t) ELSE 0 END AS unique_bp,
+            coalesce(floor(list_avg(list_filter(list_transform(regexp_extract_all(t, '{metrics.SENTENCE}'), lambda x: length(x)), lambda n: n > 2)) * 10 + 0.5), 0)::BIGINT AS sentence_x10
           FROM {_DOCS})
         SELECT *, least(100, greatest(10, 70 + CASE WHEN template_bp > 30 THEN -25 WHEN template_bp > 15 THEN -15 WHEN template_bp > 8 THEN -8 WHEN template_bp < 3 THEN 5 ELSE 0 END
-            + CASE WHEN unique_bp > 2500 THEN 5 WHEN unique_bp < 1200 THEN -10 ELSE 0 END))::INT AS writing_x10,
+            + CASE WHEN unique_bp > 2500 THEN 5 WHEN unique_bp < 1200 THEN -10 ELSE 0 END
+            + CASE WHEN sentence_x10 > 500 THEN -8 WHEN sentence_x10 BETWEEN 150 AND 400 THEN 3 ELSE 0 END))::INT AS writing_x10,
           least(100, greatest(10, 60 + CASE WHEN exclaim_bp BETWEEN 5 AND 25 THEN 15 WHEN exclaim_bp > 40 THEN -10 WHEN exclaim_bp < 2 THEN -5 ELSE 0 END
             + CASE WHEN template_bp > 20 THEN -10 ELSE 0 END))::INT AS emotion_x10 FROM r""",
     "template_phrase_density": f"WITH d AS {_DOCS}, h AS ({_HIT_ROWS}) SELECT doc_id, category, phrase, hits::INT AS hits FROM h WHERE hits >= 2",

@@ -3,7 +3,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from palimpsest.functions.jsontext import repair
+from palimpsest.functions.jsontext import diagnose, repair
 from palimpsest.operators import anchors, entities, joins, records, states, windows
 from palimpsest.sources import files
 
@@ -138,3 +138,18 @@ def test_context_keeps_whole_threads_and_scales_with_length(spark, tmp_path):
         spark.createDataFrame([(1, "x" * length)], "book_id long, text string").write.parquet(str(tmp_path / name / "documents.parquet"))
         row = rolling_context_state(spark, str(tmp_path / name)).first()
         assert (row.n_open, row.n_resolved) == (most, 1)
+
+
+def test_marks_inside_strings_stay():
+    assert repair("｛\"a\"：1，\"text\"：\"他说，走：吧\"｝") == ('{"a": 1, "text": "他说，走：吧"}', "wide")
+    assert repair('{"evidence": "他说"这是真的"，随后离开"}') == ('{"evidence": "他说\\"这是真的\\"，随后离开"}', "quotes")
+    assert repair('{"a": "x\x07y"}')[0] == '{"a": "xy"}'
+    assert repair('ready: {"a": [1, 2,]} done')[0] == '{"a": [1, 2]}'
+
+
+def test_json_diagnosis():
+    assert diagnose(None)[0] == ["content_empty", "content_none"]
+    assert diagnose('{"a": "b')[0] == ["json_string_unclosed", "json_unbalanced", "likely_truncated"]
+    assert diagnose('```json\n{"a": 1}\n```') == (["code_fence_wrapped"], 20, 0, 0)
+    assert diagnose('```{"a": [1}') == (["code_fence_unclosed", "code_fence_wrapped", "json_unbalanced"], 12, 0, 1)
+    assert diagnose('{"a": [' + "1, " * 2000)[0] == ["json_unbalanced", "likely_truncated", "near_max_tokens_truncated"]

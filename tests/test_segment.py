@@ -75,3 +75,10 @@ def test_whole_books_are_cut_at_their_chapters(spark):
         if found:
             want[book] = [(n, *c) for n, c in enumerate(found, 1)]
     assert got == want
+
+
+def test_halves_are_cut_before_the_nearest_mark():
+    assert halves_of("aaaa。bbb\ncccc") == [(0, 8), (8, 13)]
+    assert halves_of("aa。b\ncc。d") == [(0, 4), (4, 9)]
+    assert halves_of("abcdef") == [(0, 3), (3, 6)]
+    assert halves_of("\nabc。") == [(0, 2), (2, 5)]
