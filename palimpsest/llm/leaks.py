@@ -1,10 +1,11 @@
 """Held-out passages inside corpus documents, found by winnowing and extended to stretches.
 
 Both sides are reduced to winnowed shingle fingerprints: of words in scripts with spaces, of characters in others. Any
-shared run of ``k + w - 1`` tokens has a fingerprint in common. The passages' fingerprints are looked up in blocks of
-fixed size, each broadcast and joined with all documents where those are read, so that no fingerprint of the corpus is
-shuffled. A document with enough hits near one or two diagonals is a candidate; candidates are extended over the whole
-texts to stretches that may hold a few changed letters.
+shared run of ``k + w - 1`` tokens has a fingerprint in common. The passages are indexed in blocks of fixed size, each
+broadcast. The corpus is read once: a batch's fingerprints are computed once and joined with one block after another,
+so that no fingerprint of the corpus is shuffled and one block is in a task's memory at a time. Every document and
+passage with a common fingerprint is extended over the whole texts to stretches that may hold a few changed letters,
+unless the equal runs of letters that stretches are made of can't cover enough of the passage (``_Index.covered``).
 
 Defined results: NULL, blank and symbol-only texts hold nothing and a passage without letters is never found; a
 document is reported once per passage; repeated rows don't add rows.
@@ -25,8 +26,10 @@ from palimpsest.llm.tokens import Tokens, _kinds, fingerprints, slices, tokenize
 
 #: (k, w) for scripts written without spaces and for words.
 CHARACTERS, WORDS = (10, 5), (5, 3)
-#: Most fingerprints of passages that are broadcast at once.
+#: Characters of the passages of one block.
 BLOCK = 1_000_000
+#: Least part of a stretch that equal runs of letters cover, and letters of such a run in scripts without spaces and in others.
+IDENTITY, SEED_CHARACTERS, SEED_WORDS = 0.6, 6, 12
 #: Most characters whose arrays are held at once, but for single longer texts.
 BATCH_CHARS = 400_000
 
@@ -53,18 +56,23 @@ def _fold(text: str) -> np.ndarray:
     return points[_kinds()[points] > 0]
 
 
-def _seeds(passage: np.ndarray, text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """All equal runs of ``size`` characters: places in the passage and in the text."""
+def _runs(x: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every run of ``size`` letters."""
+    n = len(x) - size + 1
+    h = np.zeros(max(n, 0), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(size if n > 0 else 0):
+            h = h * np.uint64(0x100000001B3) + x[i : i + n].astype(np.uint64)
+    return h
+
+
+def _seed_size(passage: np.ndarray) -> int:
+    return SEED_CHARACTERS if len(passage) and (_kinds()[passage] == 2).mean() > 0.5 else SEED_WORDS
 
-    def runs(x):
-        n = len(x) - size + 1
-        h = np.zeros(max(n, 0), np.uint64)
-        with np.errstate(over="ignore"):
-            for i in range(size if n > 0 else 0):
-                h = h * np.uint64(0x100000001B3) + x[i : i + n].astype(np.uint64)
-        return h
 
-    p, t = runs(passage), runs(text)
+def _seeds(passage: np.ndarray, text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """All equal runs of ``size`` characters: places in the passage and in the text."""
+    p, t = _runs(passage, size), _runs(text, size)
     order = np.argsort(p, kind="stable")
     low, high = np.searchsorted(p[order], t, "left"), np.searchsorted(p[order], t, "right")
     counts = high - low
@@ -73,10 +81,10 @@ def _seeds(passage: np.ndarray, text: np.ndarray, size: int) -> tuple[np.ndarray
     return order[np.repeat(low, counts) + within], at
 
 
-def stretches(passage: str, text: str, gap: int = 30, drift: int = 6, identity: float = 0.6) -> list[tuple[int, int, int]]:
+def stretches(passage: str, text: str, gap: int = 30, drift: int = 6, identity: float = IDENTITY) -> list[tuple[int, int, int]]:
     """Shared stretches as (start in the passage, end, place in the text), over letters and digits only."""
     p, t = _fold(passage), _fold(text)
-    size = 6 if len(p) and (_kinds()[p] == 2).mean() > 0.5 else 12
+    size = _seed_size(p)
     at_p, at_t = _seeds(p, t, size)
     if not len(at_p):
         return []
@@ -148,31 +156,29 @@ def held(passage: str, text: str, least: float = 0.12) -> float:
     return best / total
 
 
-def find_leaks(docs: DataFrame, doc_key: str, text: str, items: DataFrame, item_key: str, passage: str, share: float = 0.4, hits: float = 0.15) -> DataFrame:
+def find_leaks(docs: DataFrame, doc_key: str, text: str, items: DataFrame, item_key: str, passage: str, share: float = 0.4, block: int = BLOCK) -> DataFrame:
     """(doc_key, item_key, share) of documents that hold at least ``share`` of a passage in one or two stretches.
 
-    ``hits`` is the least number of fingerprints near the two best diagonals, as a fraction of the passage's.
+    ``block`` is the number of characters of the passages that are indexed together.
     """
     kind = docs.schema[doc_key].dataType.simpleString()
     spark = docs.sparkSession
     columns = [(doc_key, kind), (item_key, "bigint"), ("share", "double")]
-    out = None
-    for block in _blocks(items.select(item_key, passage).filter(F.col(passage).isNotNull()).distinct()):
-        shared = spark.sparkContext.broadcast(_Index(block))
-        part = docs.select(doc_key, text).filter(F.col(text).isNotNull()).mapInArrow(_search(shared, share, hits, [c for c, _ in columns]), ", ".join(f"`{c}` {t}" for c, t in columns))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], ", ".join(f"`{c}` {t}" for c, t in columns))
-    return out.groupBy(doc_key, item_key).agg(F.max("share").alias("share"))
-
-
-def _blocks(items: DataFrame) -> Iterator[list[tuple]]:
-    """Passages in blocks whose fingerprints fit one broadcast; one block is on the driver at a time."""
+    schema = ", ".join(f"`{c}` {t}" for c, t in columns)
+    blocks = [spark.sparkContext.broadcast(_Index(rows)) for rows in _blocks(items.select(item_key, passage).filter(F.col(passage).isNotNull()).distinct(), block)]
+    if not blocks:
+        return spark.createDataFrame([], schema)
+    found = docs.select(doc_key, text).filter(F.col(text).isNotNull()).mapInArrow(_search(blocks, share, [c for c, _ in columns]), schema)
+    return found.groupBy(doc_key, item_key).agg(F.max("share").alias("share"))
+
+
+def _blocks(items: DataFrame, block: int) -> Iterator[list[tuple]]:
+    """Passages in blocks of about ``block`` characters; one block is on the driver at a time."""
     rows, size = [], 0
     for row in items.toLocalIterator():
         rows.append(tuple(row))
         size += len(row[1])
-        if size >= BLOCK:
+        if size >= block:
             yield rows
             rows, size = [], 0
     if rows:
@@ -180,56 +186,73 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple]]:
 
 
 class _Index:
-    """Fingerprints of a block of passages, sorted."""
+    """Fingerprints of a block of passages, sorted, and the runs of letters that their stretches are made of."""
 
     def __init__(self, rows: list[tuple]):
         self.keys, self.passages = [r[0] for r in rows], [r[1] for r in rows]
-        fps, item, place, _ = passage_prints(self.passages)
-        order = np.argsort(fps, kind="stable")
-        self.fps, self.item, self.place = fps[order], item[order].astype(np.int32), place[order].astype(np.int32)
-        self.size = np.bincount(item, minlength=len(rows))
-
-    def promising(self, texts: list[str], hits: float) -> list[tuple[int, int]]:
-        """(text, passage) pairs with enough hits near one or two diagonals."""
-        fps, doc, place, _ = passage_prints(texts)
+        fps, item, _, _ = passage_prints(self.passages)
+        both = np.unique(np.stack([fps.view(np.uint64), item.astype(np.uint64)], 1), axis=0)
+        self.fps, self.item = both[:, 0].view(np.int64), both[:, 1].astype(np.int32)
+        order = np.argsort(self.fps, kind="stable")
+        self.fps, self.item = self.fps[order], self.item[order]
+        folded = [_fold(p) for p in self.passages]
+        self.letters = np.array([len(x) for x in folded])
+        self.size = np.array([_seed_size(x) for x in folded])
+        runs = [_runs(x, size) for x, size in zip(folded, self.size.tolist(), strict=True)]
+        self.start = np.concatenate(([0], np.cumsum([len(r) for r in runs])))
+        self.runs = np.concatenate(runs)
+
+    def meeting(self, fps: np.ndarray, doc: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """Each text and the passages that it has a fingerprint in common with."""
         low, high = np.searchsorted(self.fps, fps, "left"), np.searchsorted(self.fps, fps, "right")
         counts = high - low
         src = np.repeat(np.arange(len(fps)), counts)
         dst = np.repeat(low, counts) + np.arange(len(src)) - np.repeat(np.cumsum(counts) - counts, counts)
-        if not len(src):
+        pairs = np.unique(doc[src].astype(np.int64) * len(self.keys) + self.item[dst])
+        if not len(pairs):
             return []
-        pair = doc[src].astype(np.int64) * len(self.keys) + self.item[dst]
-        # Few hits in all can't be enough: most pairs end here.
-        least = np.maximum(1, np.ceil(hits * self.size)).astype(np.int64)
-        _, inverse, total = np.unique(pair, return_inverse=True, return_counts=True)
-        many = total[inverse] >= least[self.item[dst]]
-        pair, diagonal = pair[many], (place[src] - self.place[dst])[many]
-        best: dict[int, np.ndarray] = {}
-        for offset in (0, 8):
-            cell, n = np.unique(np.stack([pair, (diagonal + offset) // 16], 1), axis=0, return_counts=True)
-            order = np.lexsort((-n, cell[:, 0]))
-            p, n = cell[order, 0], n[order]
-            first = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1]))) if len(p) else np.zeros(0, int)
-            second = np.where((first + 1 < len(p)) & (p[np.minimum(first + 1, len(p) - 1)] == p[first]), n[np.minimum(first + 1, len(p) - 1)], 0) if len(p) else first
-            for q, s in zip(p[first].tolist(), (n[first] + second).tolist(), strict=True):
-                best[q] = max(best.get(q, 0), s)
-        width = len(self.keys)
-        return [(q // width, q % width) for q, s in best.items() if s >= least[q % width]]
-
-
-def _search(shared, share: float, hits: float, names: list[str]):
+        texts, items = pairs // len(self.keys), pairs % len(self.keys)
+        starts = np.flatnonzero(np.concatenate(([True], texts[1:] != texts[:-1])))
+        return [(int(texts[a]), items[a:b]) for a, b in zip(starts, np.append(starts[1:], len(pairs)), strict=True)]
+
+    def covered(self, items: np.ndarray, text: str) -> np.ndarray:
+        """The letters of each passage that equal runs of letters in the text cover, wherever they are."""
+        folded, out = _fold(text), np.zeros(len(items))
+        for size in (SEED_CHARACTERS, SEED_WORDS):
+            own = np.flatnonzero(self.size[items] == size)
+            lengths = self.start[items[own] + 1] - self.start[items[own]]
+            if not lengths.sum():
+                continue
+            there = np.sort(_runs(folded, size))
+            at = np.arange(lengths.sum()) + np.repeat(self.start[items[own]] - (np.cumsum(lengths) - lengths), lengths)
+            runs = self.runs[at]
+            place = np.searchsorted(there, runs)
+            hit = np.flatnonzero(there[np.minimum(place, len(there) - 1)] == runs) if len(there) else np.zeros(0, int)
+            owner = np.repeat(own, lengths)[hit]
+            ahead = np.minimum(np.append(np.diff(hit), size), size)
+            ahead[np.flatnonzero(np.diff(owner))] = size
+            out += np.bincount(owner, weights=ahead, minlength=len(items))
+        return out
+
+
+def _search(blocks: list, share: float, names: list[str]):
     def search(batches):
-        index = shared.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
             at, item, held_share = [], [], []
             for a, b in slices(texts, BATCH_CHARS):
-                for d, i in index.promising(texts[a:b], hits):
-                    part = held(index.passages[i], texts[a + d])
-                    if part >= share:
-                        at.append(a + d)
-                        item.append(index.keys[i])
-                        held_share.append(part)
+                fps, doc, _, _ = passage_prints(texts[a:b])
+                for shared in blocks:
+                    index = shared.value
+                    for d, items in index.meeting(fps, doc):
+                        for i in items[index.covered(items, texts[a + d]) >= IDENTITY * share * index.letters[items]]:
+                            part = held(index.passages[i], texts[a + d])
+                            if part >= share:
+                                at.append(a + d)
+                                item.append(index.keys[i])
+                                held_share.append(part)
+                    if len(blocks) > 1:
+                        shared.__dict__.pop("_value", None)  # read again from the executor's disk when it is needed
             found = [batch.column(0).take(pa.array(at, pa.int32())), pa.array(item, pa.int64()), pa.array(held_share, pa.float64())]
             yield pa.RecordBatch.from_arrays(found, names)
 

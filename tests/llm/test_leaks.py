@@ -1,6 +1,7 @@
 import random
 
-from palimpsest.llm.leaks import find_leaks, held, slices
+from palimpsest.llm.leaks import find_leaks, held
+from palimpsest.llm.tokens import slices
 
 rnd = random.Random(9)
 WORDS = ["".join(rnd.choice("bcdfglmnprst") + rnd.choice("aeiou") for _ in range(rnd.randrange(2, 4))) for _ in range(400)]
@@ -51,6 +52,14 @@ def test_search(spark):
     assert find_leaks(d, "doc_id", "text", p.limit(0), "item_id", "passage").count() == 0
 
 
+def test_blocks_of_passages_change_nothing(spark):
+    items = [(i, text(70)) for i in range(12)]
+    docs = [(i, f"{text(100)} {items[i % 12][1]} {text(100)}") for i in range(24)]
+    d, p = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string")
+    got = {(r.doc_id, r.item_id) for r in find_leaks(d, "doc_id", "text", p, "item_id", "passage", block=1000).collect()}
+    assert got == {(i, i % 12) for i in range(24)}
+
+
 def test_slices_cover_all():
     texts = ["a" * 10, None, "b" * 100, "", "c" * 3]
     found = list(slices(texts, 50))
