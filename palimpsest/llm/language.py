@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.leaks import slices
-from palimpsest.llm.tokens import tokenize
+from palimpsest.llm.leaks import BATCH_CHARS
+from palimpsest.llm.tokens import slices, tokenize
 
 LANGUAGES = ("zh", "en", "ja", "fr", "de", "es", "pt", "ru")
 MISSING = ("", "und", "unknown")
@@ -190,7 +190,7 @@ def _count_words(docs: DataFrame, model: Model | None) -> dict[str, Counter]:
         for batch in batches:
             counts: dict[str, Counter] = {}
             texts, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, BATCH_CHARS):
                 part = texts[a:b]
                 if model is None:
                     tokens = tokenize(part)
@@ -250,7 +250,7 @@ def _scan(docs: DataFrame, key: str, text: str, model: Model, keep: list[str], b
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             at, rows = [], []
-            for a, b in slices(texts):
+            for a, b in slices(texts, BATCH_CHARS):
                 for i, found in enumerate(analyse(own, texts[a:b]), a):
                     if found:
                         new = (_segments if by_segment else _languages)(found)

@@ -3,9 +3,11 @@
 Both sides are reduced to winnowed shingle fingerprints: of words in scripts with spaces, of characters in others. Any
 shared run of ``k + w - 1`` tokens has a fingerprint in common. The passages are indexed in blocks of fixed size, each
 broadcast. The corpus is read once: a batch's fingerprints are computed once and joined with one block after another,
-so that no fingerprint of the corpus is shuffled and one block is in a task's memory at a time. Every document and
-passage with a common fingerprint is extended over the whole texts to stretches that may hold a few changed letters,
-unless the equal runs of letters that stretches are made of can't cover enough of the passage (``_Index.covered``).
+so that no fingerprint of the corpus is shuffled and one block is in a task's memory at a time. A document
+and a passage are a candidate if ``HITS`` of the passage's fingerprints are hit in two bands of diagonals, each wide
+enough for all that a stretch may drift: two fifths of a passage have that many unless one letter in about twelve is
+changed. Candidates are extended over the whole texts to stretches that may hold a few changed letters, unless the
+equal runs of letters that stretches are made of can't cover enough of the passage (``_Index.covered``).
 
 Defined results: NULL, blank and symbol-only texts hold nothing and a passage without letters is never found; a
 document is reported once per passage; repeated rows don't add rows.
@@ -30,6 +32,8 @@ CHARACTERS, WORDS = (10, 5), (5, 3)
 BLOCK = 1_000_000
 #: Least part of a stretch that equal runs of letters cover, and letters of such a run in scripts without spaces and in others.
 IDENTITY, SEED_CHARACTERS, SEED_WORDS = 0.6, 6, 12
+#: Least part of a passage's fingerprints that candidates hit, and tokens that a stretch may drift.
+HITS, DRIFT = 0.06, 64
 #: Most characters whose arrays are held at once, but for single longer texts.
 BATCH_CHARS = 400_000
 
@@ -70,21 +74,43 @@ def _seed_size(passage: np.ndarray) -> int:
     return SEED_CHARACTERS if len(passage) and (_kinds()[passage] == 2).mean() > 0.5 else SEED_WORDS
 
 
-def _seeds(passage: np.ndarray, text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+class _Text:
+    """A text's letters and digits, and the hashes of its runs, each made once."""
+
+    def __init__(self, text: str):
+        self.letters, self._hashes, self._sorted = _fold(text), {}, {}
+
+    def hashes(self, size: int) -> np.ndarray:
+        if size not in self._hashes:
+            self._hashes[size] = _runs(self.letters, size)
+        return self._hashes[size]
+
+    def ordered(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes in order, and the places that they have in the text."""
+        if size not in self._sorted:
+            order = np.argsort(self.hashes(size), kind="stable")
+            self._sorted[size] = self.hashes(size)[order], order
+        return self._sorted[size]
+
+
+def _seeds(passage: _Text, text: _Text, size: int) -> tuple[np.ndarray, np.ndarray]:
     """All equal runs of ``size`` characters: places in the passage and in the text."""
-    p, t = _runs(passage, size), _runs(text, size)
-    order = np.argsort(p, kind="stable")
-    low, high = np.searchsorted(p[order], t, "left"), np.searchsorted(p[order], t, "right")
+    runs, (there, order) = passage.hashes(size), text.ordered(size)
+    low, high = np.searchsorted(there, runs, "left"), np.searchsorted(there, runs, "right")
     counts = high - low
-    at = np.repeat(np.arange(len(t)), counts)
+    at = np.repeat(np.arange(len(runs)), counts)
     within = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
-    return order[np.repeat(low, counts) + within], at
+    return at, order[np.repeat(low, counts) + within]
+
 
+def stretches(passage: str | _Text, text: str | _Text, shortest: float = 0, needed: float = 0, gap: int = 30, drift: int = 6, identity: float = IDENTITY) -> list[tuple[int, int, int]]:
+    """Shared stretches as (start in the passage, end, place in the text), over letters and digits only.
 
-def stretches(passage: str, text: str, gap: int = 30, drift: int = 6, identity: float = IDENTITY) -> list[tuple[int, int, int]]:
-    """Shared stretches as (start in the passage, end, place in the text), over letters and digits only."""
-    p, t = _fold(passage), _fold(text)
-    size = _seed_size(p)
+    Runs of letters that can't be part of a stretch as long as ``shortest`` may be left out, and all of them if no two
+    stretches can have ``needed`` letters.
+    """
+    p, t = (x if isinstance(x, _Text) else _Text(x) for x in (passage, text))
+    size = _seed_size(p.letters)
     at_p, at_t = _seeds(p, t, size)
     if not len(at_p):
         return []
@@ -95,7 +121,14 @@ def stretches(passage: str, text: str, gap: int = 30, drift: int = 6, identity:
     new[1:] = (np.diff(at_t - at_p) != 0) | (np.diff(at_p) > 1)
     starts = np.flatnonzero(new)
     ends = np.append(starts[1:], len(at_p)) - 1
-    runs = sorted((int(at_p[s]), int(at_p[e]) + size, int(at_t[s] - at_p[s])) for s, e in zip(starts, ends, strict=True))
+    begin, end, diagonal = at_p[starts], at_p[ends] + size, (at_t - at_p)[starts]
+    # A stretch lies in one of the bands of diagonals that are twice as wide as it drifts.
+    band = diagonal // DRIFT - int(diagonal.min()) // DRIFT + 1
+    letters = np.bincount(band, weights=end - begin, minlength=int(band.max()) + 2)
+    if np.sort(letters[:-1] + letters[1:])[-2:].sum() < identity * needed:
+        return []
+    kept = np.maximum(letters[band] + letters[band + 1], letters[band] + letters[band - 1]) >= identity * shortest
+    runs = sorted(zip(begin[kept].tolist(), end[kept].tolist(), diagonal[kept].tolist(), strict=True))
     chains: list[list[int]] = []  # start, end, first diagonal, last diagonal, matched
     # Open chains by their last diagonal; a chain is open until a run starts more than ``gap`` behind its end.
     diagonals: list[int] = []
@@ -139,13 +172,15 @@ def stretches(passage: str, text: str, gap: int = 30, drift: int = 6, identity:
     return [(c[0], c[1], c[0] + c[2]) for c in chains if c[4] >= identity * (c[1] - c[0])]
 
 
-def held(passage: str, text: str, least: float = 0.12) -> float:
+def held(passage: str | _Text, text: str | _Text, least: float = 0.12, share: float = 0) -> float:
     """The largest fraction of the passage that the text holds in its own order in one or two stretches.
 
-    A stretch shorter than ``least`` of the passage is a turn of phrase.
+    A stretch shorter than ``least`` of the passage is a turn of phrase. A fraction below ``share`` may come out as 0.
     """
-    total = len(_fold(passage))
-    found = [s for s in stretches(passage, text) if s[1] - s[0] >= max(20, least * total)]
+    passage = passage if isinstance(passage, _Text) else _Text(passage)
+    total = len(passage.letters)
+    shortest = max(20, least * total)
+    found = [s for s in stretches(passage, text, shortest, share * total) if s[1] - s[0] >= shortest]
     if not total or not found:
         return 0.0
     best = max(b - a for a, b, _ in found)
@@ -189,41 +224,56 @@ class _Index:
     """Fingerprints of a block of passages, sorted, and the runs of letters that their stretches are made of."""
 
     def __init__(self, rows: list[tuple]):
-        self.keys, self.passages = [r[0] for r in rows], [r[1] for r in rows]
-        fps, item, _, _ = passage_prints(self.passages)
-        both = np.unique(np.stack([fps.view(np.uint64), item.astype(np.uint64)], 1), axis=0)
-        self.fps, self.item = both[:, 0].view(np.int64), both[:, 1].astype(np.int32)
-        order = np.argsort(self.fps, kind="stable")
-        self.fps, self.item = self.fps[order], self.item[order]
-        folded = [_fold(p) for p in self.passages]
-        self.letters = np.array([len(x) for x in folded])
-        self.size = np.array([_seed_size(x) for x in folded])
-        runs = [_runs(x, size) for x, size in zip(folded, self.size.tolist(), strict=True)]
+        self.keys, self.passages = [r[0] for r in rows], [_Text(r[1]) for r in rows]
+        fps, item, place, _ = passage_prints([r[1] for r in rows])
+        order = np.argsort(fps, kind="stable")
+        self.fps, self.item, self.place = fps[order], item[order].astype(np.int32), place[order].astype(np.int32)
+        self.least = np.maximum(1, np.ceil(HITS * np.bincount(item, minlength=len(rows)))).astype(np.int64)
+        self.letters = np.array([len(x.letters) for x in self.passages])
+        self.size = np.array([_seed_size(x.letters) for x in self.passages])
+        runs = [x.hashes(size) for x, size in zip(self.passages, self.size.tolist(), strict=True)]
         self.start = np.concatenate(([0], np.cumsum([len(r) for r in runs])))
         self.runs = np.concatenate(runs)
 
-    def meeting(self, fps: np.ndarray, doc: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """Each text and the passages that it has a fingerprint in common with."""
+    def meeting(self, fps: np.ndarray, doc: np.ndarray, place: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """Each text and the passages of which it hits enough fingerprints in two bands of diagonals."""
         low, high = np.searchsorted(self.fps, fps, "left"), np.searchsorted(self.fps, fps, "right")
         counts = high - low
         src = np.repeat(np.arange(len(fps)), counts)
         dst = np.repeat(low, counts) + np.arange(len(src)) - np.repeat(np.cumsum(counts) - counts, counts)
-        pairs = np.unique(doc[src].astype(np.int64) * len(self.keys) + self.item[dst])
+        item = self.item[dst]
+        pair = doc[src].astype(np.int64) * len(self.keys) + item
+        # Few hits in all can't be enough: most pairs end here.
+        names, inverse, total = np.unique(pair, return_inverse=True, return_counts=True)
+        least = self.least[names % len(self.keys)] if len(names) else total
+        some = (total >= least)[inverse] if len(names) else np.zeros(0, bool)
+        pair, at = inverse[some], self.place[dst][some]
+        band = (place[src][some] - at) // DRIFT + (1 << 20)
+        # A stretch is whole in one of the bands that are twice as wide as it drifts; a place counts once in each.
+        cells = np.concatenate([(pair << 42) | (b << 21) | at for b in (band, band - 1)])
+        cells = np.unique(cells) >> 21
+        starts = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1]))) if len(cells) else np.zeros(0, int)
+        hits, owner = np.diff(np.append(starts, len(cells))), cells[starts] >> 21
+        order = np.lexsort((-hits, owner))
+        hits, owner = hits[order], owner[order]
+        rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        best = np.bincount(owner[rank < 2], weights=hits[rank < 2], minlength=len(names))
+        pairs = names[best >= least] if len(names) else names
         if not len(pairs):
             return []
         texts, items = pairs // len(self.keys), pairs % len(self.keys)
         starts = np.flatnonzero(np.concatenate(([True], texts[1:] != texts[:-1])))
         return [(int(texts[a]), items[a:b]) for a, b in zip(starts, np.append(starts[1:], len(pairs)), strict=True)]
 
-    def covered(self, items: np.ndarray, text: str) -> np.ndarray:
+    def covered(self, items: np.ndarray, text: _Text) -> np.ndarray:
         """The letters of each passage that equal runs of letters in the text cover, wherever they are."""
-        folded, out = _fold(text), np.zeros(len(items))
+        out = np.zeros(len(items))
         for size in (SEED_CHARACTERS, SEED_WORDS):
             own = np.flatnonzero(self.size[items] == size)
             lengths = self.start[items[own] + 1] - self.start[items[own]]
             if not lengths.sum():
                 continue
-            there = np.sort(_runs(folded, size))
+            there, _ = text.ordered(size)
             at = np.arange(lengths.sum()) + np.repeat(self.start[items[own]] - (np.cumsum(lengths) - lengths), lengths)
             runs = self.runs[at]
             place = np.searchsorted(there, runs)
@@ -241,12 +291,13 @@ def _search(blocks: list, share: float, names: list[str]):
             texts = batch.column(1).to_pylist()
             at, item, held_share = [], [], []
             for a, b in slices(texts, BATCH_CHARS):
-                fps, doc, _, _ = passage_prints(texts[a:b])
+                fps, doc, place, _ = passage_prints(texts[a:b])
                 for shared in blocks:
                     index = shared.value
-                    for d, items in index.meeting(fps, doc):
-                        for i in items[index.covered(items, texts[a + d]) >= IDENTITY * share * index.letters[items]]:
-                            part = held(index.passages[i], texts[a + d])
+                    for d, items in index.meeting(fps, doc, place):
+                        text = _Text(texts[a + d])
+                        for i in items[index.covered(items, text) >= IDENTITY * share * index.letters[items]]:
+                            part = held(index.passages[i], text, share=share)
                             if part >= share:
                                 at.append(a + d)
                                 item.append(index.keys[i])
