@@ -21,12 +21,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.components import connected_components
 from palimpsest.llm.plain import with_plain_form
-from palimpsest.plans.shared import materialize
+from palimpsest.plans.shared import materialize, release
 
 # Words that may stand for anybody.
 ANYBODY = ("她", "师姐", "夫人", "小姐", "那位姑娘")
@@ -35,8 +35,8 @@ SUFFIXES, NICK_PREFIXES, NICK_SUFFIX, COURTESY = ("姑娘", "姐"), ("阿", "小
 # Surnames that are read otherwise than the character usually is.
 SURNAME_READINGS = {"曾": "zeng", "单": "shan", "解": "xie", "仇": "qiu", "区": "ou", "朴": "piao", "查": "zha", "盖": "ge", "覃": "qin", "任": "ren"}
 
-#: Learned tables are cut at so many entries; they are bounded by alphabets and titles, not by the data.
-MOST_LEARNED = 50_000
+#: Look-alike pairs and nicknames are broadcast; with more entries than this the search is refused, none is dropped.
+MOST_LEARNED = 2_000_000
 #: Least share of the posterior that a spelling's person must have.
 CERTAIN = 0.6
 
@@ -59,10 +59,9 @@ def fold(token: str) -> str:
 
 @dataclass
 class Knowledge:
-    """What the channel knows: transcriptions, titles, look-alike characters with counts, nicknames with counts."""
+    """What the channel knows: transcriptions, look-alike characters with counts, nicknames with counts."""
 
     read: dict[str, str]
-    titles: frozenset[str] = frozenset()
     alike: dict[tuple[str, str], int] = field(default_factory=dict)
     nicks: dict[str, dict[str, int]] = field(default_factory=dict)
 
@@ -81,16 +80,15 @@ class Form:
     nick: str = ""
 
 
-def parse(name: str, known: Knowledge) -> Form:
+def parse(name: str, known: Knowledge, title: int = 0) -> Form:
+    """Kind and parts of a spelling that begins with a title of ``title`` characters."""
     name = " ".join(name.split())
     titled = _TITLED.match(name)
     if titled and _HAN.match(titled.group(1)):
         name = titled.group(1)
     if _HAN.match(name):
-        for title in known.titles:
-            if name.startswith(title) and len(name) - len(title) >= 2:
-                name = name[len(title) :]
-                break
+        if title and len(name) - title >= 2:
+            name = name[title:]
         if name.endswith(SUFFIXES[0]) and len(name) > 3:
             name = name[: -len(SUFFIXES[0])]
         if name.endswith(SUFFIXES[1]) and len(name) in (2, 3):
@@ -101,8 +99,6 @@ def parse(name: str, known: Knowledge) -> Form:
             return Form("nick", (name[0],))
         if len(name) == 1:
             return Form("nick", (name,))
-        if len(name) > 5:
-            return Form("other", (name,))
         single = "".join(c for i, c in enumerate(name) if i == 0 or c != name[i - 1])
         return Form("han", (single if len(single) >= 2 else name,), full=True)
     quoted = _QUOTED.search(name)
@@ -258,20 +254,38 @@ def _spells(token: str, known: Knowledge) -> bool:
     return len(token) in reach
 
 
+def _with_titles(names: DataFrame) -> DataFrame:
+    """``names`` with the length of the longest known title that each begins with.
+
+    A title is what stands behind a name in brackets or after a dot, anywhere. Beginnings of names are joined with
+    them, so that their number has no bound.
+    """
+    han = r"^([\x{4E00}-\x{9FFF}]+?)(?:[（(]([\x{4E00}-\x{9FFF}]+)[)）]|·([\x{4E00}-\x{9FFF}]+))$"
+    titles = names.select(F.concat(F.regexp_extract("name", han, 2), F.regexp_extract("name", han, 3)).alias("begin")).filter("begin <> ''").distinct()
+    bare = names.select("id", F.when(F.regexp_extract("name", han, 1) != "", F.regexp_extract("name", han, 1)).otherwise(F.regexp_replace("name", r"\s+", " ")).alias("bare"))
+    bare = bare.filter(F.col("bare").rlike(r"^[\x{4E00}-\x{9FFF}]{3,}$"))
+    begins = bare.select("id", F.explode(F.expr("transform(sequence(1, length(bare) - 2), n -> substring(bare, 1, n))")).alias("begin"))
+    longest = begins.join(titles, "begin").groupBy("id").agg(F.max(F.length("begin")).alias("title"))
+    return names.join(longest, "id", "left").withColumn("title", F.coalesce("title", F.lit(0)))
+
+
+def _bounded(rows: DataFrame, what: str) -> list:
+    found = rows.limit(MOST_LEARNED + 1).collect()
+    if len(found) > MOST_LEARNED:
+        raise ValueError(f"more than {MOST_LEARNED} {what} were learned")
+    return found
+
+
 def _learn(names: DataFrame, read: dict[str, str]) -> Knowledge:
-    """Titles, look-alike characters and nicknames from all spellings of all books."""
+    """Look-alike characters and nicknames from all spellings of all books."""
     known = Knowledge(read)
-    han = r"^([\x{4E00}-\x{9FFF}]+?)(?:[（(]([\x{4E00}-\x{9FFF}]+)[)）]|·([\x{4E00}-\x{9FFF}]+))$"
-    title = F.concat(F.regexp_extract("name", han, 2), F.regexp_extract("name", han, 3))
-    titles = names.select(title.alias("title"), "book_id").filter("title <> ''").groupBy("title").agg(F.countDistinct("book_id").alias("n"))
-    known.titles = frozenset(r.title for r in titles.orderBy(F.desc("n"), "title").limit(1000).collect())
 
     def parts(batches):
         for batch in batches:
             rows = []
-            for book, name, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                form = parse(name, known)
-                if form.kind == "han" and len(form.parts[0]) >= 2 and len(form.parts[0]) <= 4:
+            for book, name, n, title in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                form = parse(name, known, title)
+                if form.kind == "han" and len(form.parts[0]) >= 2:
                     c = form.parts[0]
                     rows += [(book, f"w{c[:i]}*{c[i + 1 :]}", c[i], n, "") for i in range(1, len(c))]
                 elif form.kind == "words":
@@ -282,13 +296,13 @@ def _learn(names: DataFrame, read: dict[str, str]) -> Knowledge:
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], ["book_id", "key", "what", "n", "nick"])
 
-    seen = names.select("book_id", "name", "n").mapInArrow(parts, "book_id bigint, key string, what string, n bigint, nick string")
+    seen = names.select("book_id", "name", "n", "title").mapInArrow(parts, "book_id bigint, key string, what string, n bigint, nick string")
     seen = materialize(seen.groupBy("book_id", "key", "what", "nick").agg(F.sum("n").alias("n")), "parts")
     left, right = (seen.groupBy("book_id", "key", "what").agg(F.sum("n").alias("n")).select("book_id", "key", F.col("what").alias(w), F.col("n").alias(f"n{w}")) for w in "xy")
     both = left.filter("key <> 'p'").join(right, ["book_id", "key"]).filter("x <> y and nx >= ny")
     # A pair of characters that takes each other's place in several books is a likeness; relatives' names vary freely.
     pairs = both.filter("key like 'w%'").groupBy("x", "y").agg(F.countDistinct("book_id", "key").alias("n")).filter("n >= 2")
-    for r in pairs.orderBy(F.desc("n"), "x", "y").limit(MOST_LEARNED).collect():
+    for r in _bounded(pairs, "look-alike pairs"):
         known.alike[r.x, r.y] = r.n
     quoted = seen.filter("nick <> ''").groupBy(F.col("what").alias("first"), "nick").agg(F.countDistinct("book_id").alias("n"))
     # "Nick Last" beside "First Last", where the short name begins like or ends like the long one, is weaker evidence.
@@ -299,11 +313,20 @@ def _learn(names: DataFrame, read: dict[str, str]) -> Knowledge:
     alone, firsts = seen.filter("key = 'p'").select("book_id", F.col("what").alias("nick")).distinct(), seen.filter("key like 'l%'").select("book_id", F.col("what").alias("first")).distinct()
     alone = alone.join(firsts, [alone.book_id == firsts.book_id, alone.nick == firsts["first"]], "left_anti")
     books = alone.groupBy("nick").agg(F.count("*").alias("books")).filter("books >= 3")
-    usual = firsts.groupBy("first").agg((F.count("*") / F.lit(max(1, firsts.select("book_id").distinct().count()))).alias("usual"))
-    company = alone.join(firsts, "book_id").groupBy("nick", "first").agg(F.count("*").alias("n")).join(books, "nick").join(usual, "first")
-    company = company.filter("n >= 0.9 * books and pow(usual, books) < 0.01").select("first", "nick", "n")
-    for r in quoted.unionByName(short).unionByName(company).groupBy("first", "nick").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "first", "nick").limit(MOST_LEARNED).collect():
+    total = max(1, firsts.select("book_id").distinct().count())
+    usual = firsts.groupBy("first").agg((F.count("*") / F.lit(total)).alias("usual"))
+    # A first name that is in nine tenths of a word's books is in any tenth of them and one more: those with the fewest
+    # names are looked at, so that no large book's words meet all its names.
+    alone = alone.join(books, "nick").join(firsts.groupBy("book_id").agg(F.count("*").alias("names")), "book_id")
+    place = F.row_number().over(Window.partitionBy("nick").orderBy("names", "book_id"))
+    probes = alone.withColumn("place", place).filter("place <= floor(books * 0.1 + 0.0000001) + 1").select("nick", "books", "book_id")
+    likely = probes.join(firsts, "book_id").join(usual, "first").filter("pow(usual, books) < 0.01").select("nick", "first", "books").distinct()
+    company = likely.join(alone.select("nick", "book_id"), "nick").join(firsts, ["book_id", "first"]).groupBy("nick", "first", "books").agg(F.count("*").alias("n"))
+    company = company.filter("n >= 0.9 * books").select("first", "nick", "n")
+    nicks = quoted.unionByName(short).unionByName(company).groupBy("first", "nick").agg(F.sum("n").alias("n"))
+    for r in _bounded(nicks, "nicknames"):
         known.nicks.setdefault(r.nick, {})[r.first] = r.n
+    release(seen)
     return known
 
 
@@ -319,34 +342,36 @@ def spellings(entries: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def persons(names: DataFrame) -> DataFrame:
     """(book_id, name, person): every spelling that is linked with another one."""
-    names = materialize(names, "names")
+    plain = materialize(names, "plain")
+    names = materialize(_with_titles(plain), "names")
+    release(plain)
     known = _learn(names, readings(names.sparkSession))
     shared = names.sparkSession.sparkContext.broadcast(known)
 
     def block(batches):
         for batch in batches:
             rows, at = [], []
-            for i, name in enumerate(batch.column(2).to_pylist()):
-                form = parse(name, shared.value)
+            for i, (name, title) in enumerate(zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                form = parse(name, shared.value, title)
                 variant, candidate = keys(form, shared.value)
                 for k in variant | candidate:
                     rows.append((k, k in variant, form.full and k in candidate))
                     at.append(i)
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
             taken = batch.take(pa.array(at, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, *(pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.bool_(), pa.bool_()), strict=True))], ["book_id", "id", "name", "n", "key", "variant", "candidate"])
+            yield pa.RecordBatch.from_arrays([*taken.columns, *(pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.bool_(), pa.bool_()), strict=True))], ["book_id", "id", "name", "n", "title", "key", "variant", "candidate"])
 
-    fields = "book_id bigint, id bigint, name string, n bigint"
-    keyed = materialize(names.select("book_id", "id", "name", "n").mapInArrow(block, f"{fields}, key string, variant boolean, candidate boolean"), "keyed")
-    x = keyed.filter("variant").select("book_id", "key", F.col("id").alias("x"), F.col("name").alias("xname"), F.col("n").alias("xn"))
-    y = keyed.filter("candidate").select("book_id", "key", F.col("id").alias("y"), F.col("name").alias("yname"), F.col("n").alias("yn"))
+    fields = "book_id bigint, id bigint, name string, n bigint, title int"
+    keyed = materialize(names.select("book_id", "id", "name", "n", "title").mapInArrow(block, f"{fields}, key string, variant boolean, candidate boolean"), "keyed")
+    x = keyed.filter("variant").select("book_id", "key", F.col("id").alias("x"), F.col("name").alias("xname"), F.col("n").alias("xn"), F.col("title").alias("xtitle"))
+    y = keyed.filter("candidate").select("book_id", "key", F.col("id").alias("y"), F.col("name").alias("yname"), F.col("n").alias("yn"), F.col("title").alias("ytitle"))
     pairs = x.join(y, ["book_id", "key"]).filter("x <> y").drop("key").distinct()
 
     def weigh(batches):
         for batch in batches:
             full, weight, free = [], [], []
-            for a, b in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                form, other = parse(a, shared.value), parse(b, shared.value)
+            for a, b, s, t in zip(*(batch.column(i).to_pylist() for i in (1, 3, 6, 7)), strict=True):
+                form, other = parse(a, shared.value, s), parse(b, shared.value, t)
                 full.append(form.full)
                 weight.append(likelihood(form, other, shared.value))
                 free.append(form.full and derived(form, other, shared.value))
@@ -354,7 +379,7 @@ def persons(names: DataFrame) -> DataFrame:
             rows = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(4), batch.column(5), pa.array(full), pa.array(weight, pa.float64()), pa.array(free, pa.bool_())], ["x", "y", "xn", "yn", "full", "weight", "free"])
             yield rows.filter(keep)
 
-    weighed = pairs.select("x", "xname", "y", "yname", "xn", "yn").mapInArrow(weigh, "x bigint, y bigint, xn bigint, yn bigint, full boolean, weight double, free boolean")
+    weighed = pairs.select("x", "xname", "y", "yname", "xn", "yn", "xtitle", "ytitle").mapInArrow(weigh, "x bigint, y bigint, xn bigint, yn bigint, full boolean, weight double, free boolean")
     weighed = materialize(weighed.withColumn("posterior", F.col("weight") * F.col("yn")), "weighed")
     # A full name goes to a more frequent one (or, at equal counts, to the larger id), unless only it can be the variant.
     better = F.struct("yn", "y") > F.struct("xn", "x")
@@ -366,7 +391,10 @@ def persons(names: DataFrame) -> DataFrame:
     best = by_person.groupBy("x").agg(F.max_by("root", F.struct("posterior", "root")).alias("root"), F.max("posterior").alias("most"), F.sum("posterior").alias("all"))
     second = best.filter(F.col("most") >= CERTAIN * F.col("all")).select("x", F.col("root").alias("y"))
     linked = connected_components(first.unionByName(second), "x", "y")
-    return names.join(linked.select(F.col("node").alias("id"), F.col("component").alias("person")), "id").select("book_id", "name", "person")
+    found = names.join(linked.select(F.col("node").alias("id"), F.col("component").alias("person")), "id").select("book_id", "name", "person")
+    found = materialize(found, "persons")
+    release(names, keyed, weighed, roots)
+    return found
 
 
 def spelling_pairs(linked: DataFrame) -> DataFrame:
