@@ -1,10 +1,13 @@
 """One plain form for text that looks the same in different characters.
 
-A transducer over grapheme clusters, compiled once per process: every cluster that is not already plain is rewritten by
-the longest entry of a mapping that is computed from the Unicode tables and checked for conflicts (each output is
-plain itself, and no input has two outputs). Word context decides look-alike letters: a Latin letter inside a
-Cyrillic word becomes Cyrillic, a Greek or Cyrillic letter inside a Latin word or a letter-and-digit code becomes
-Latin. Values without any suspicious character are recognised by one search for a character class.
+A transducer over grapheme clusters, compiled once per process and run once over a value. It has two parts. The mapping
+gives each character's ordinary one; it is computed from the Unicode tables and checked for conflicts (each output is
+plain itself, and no input has two outputs). A trie holds every letter that is composed of a base and marks, under the
+mapped characters it is made of; the longest match from each place of a cluster is written out. Word context is the
+transducer's state: the letters of a word are held until it ends, and then a Latin letter inside a Cyrillic word becomes
+Cyrillic, and a look-alike letter of another script inside a Latin word or a letter-and-digit code becomes Latin; a word
+of nothing but look-alikes is settled by the other words when the value ends. Values without any suspicious character
+are recognised by one search for a character class.
 
 Plain form: Latin letters and digits in normal width, accents composed, ordinary spaces, nothing invisible, unified
 ideographs instead of radicals and compatibility forms. Chinese punctuation, words that are properly Cyrillic or
@@ -38,7 +41,11 @@ RADICALS = dict(
 # Cyrillic and Greek letters that look like Latin ones.
 CYRILLIC = dict(zip("АВЕКМНОРСТХУІЈЅԚԜаеорсухіјѕһԁԛԝӏ", "ABEKMHOPCTXYIJSQWaeopcyxijshdqwl", strict=True))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονιρυκα", "ABEZHIKMNOPTYXovipuka", strict=True))
-TO_LATIN = CYRILLIC | GREEK
+# Letters of other scripts that look like Latin ones.
+CHEROKEE = dict(zip("ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᎽᏀᏃᏎᏏᏔᏕᏙᏚᏞᏟᏢᏦᏧ", "DRTiAJEWMHYGZ4bWSVSLCPKd", strict=True))
+LISU = dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU", strict=True))
+ARMENIAN = dict(zip("օոսհցզՍՕ", "onuhgqUO", strict=True))
+TO_LATIN = CYRILLIC | GREEK | CHEROKEE | LISU | ARMENIAN
 TO_CYRILLIC = {latin: c for c, latin in reversed(CYRILLIC.items())}
 
 INVISIBLE = (
@@ -90,59 +97,132 @@ def _compile() -> dict[str, str]:
     return mapping
 
 
+def _composed(mapping: dict[str, str]) -> dict:
+    """Trie of the letters with marks by their canonical parts; a node's letter is under the empty key."""
+    trie: dict = {}
+    for code in range(0xC0, 0x30000):
+        letter = chr(code)
+        parts = unicodedata.normalize("NFD", letter)
+        if len(parts) < 2 or letter in mapping or unicodedata.normalize("NFC", parts) != letter:
+            continue
+        node = trie
+        for c in parts:
+            node = node.setdefault(c, {})
+        if node.setdefault("", letter) != letter:
+            raise ValueError(f"two letters for {parts!r}")
+    return trie
+
+
+class _Word:
+    """State inside a word: its letters so far and what they tell about its script."""
+
+    def __init__(self):
+        self.letters: list[str] = []
+        self.alien = self.latin = self.digit = self.own = self.greek = False
+
+    def add(self, letter: str, kind: str, greek: bool) -> None:
+        self.letters.append(letter)
+        self.alien |= kind == "alien"
+        self.latin |= kind == "latin"
+        self.digit |= kind == "digit"
+        self.own |= kind == "own"
+        self.greek |= greek
+
+    def settled(self) -> str | None:
+        """The word in its script, or None if the other words of the value decide."""
+        if not self.alien:
+            return "".join(self.letters)
+        if self.own:
+            return "".join(TO_CYRILLIC.get(x, x) for x in self.letters) if self.latin and not self.greek else "".join(self.letters)
+        return self.as_latin() if self.latin or self.digit else None
+
+    def as_latin(self) -> str:
+        return "".join(TO_LATIN.get(x, x) for x in self.letters)
+
+
 @lru_cache(1)
 def _transducer():
     mapping = _compile()
+    trie = _composed(mapping)
     cluster = regex.compile(r"\X")
     emoji = regex.compile(r"\p{Extended_Pictographic}")
     suspicious = re.compile(SUSPICIOUS)
-    alien = regex.compile(f"[{''.join(TO_LATIN)}]")
-    latin = regex.compile(r"\p{Script=Latin}")
-    cyrillic, greek = regex.compile(r"\p{Script=Cyrillic}"), regex.compile(r"\p{Script=Greek}")
-    runs = regex.compile(r"[\p{Script=Latin}\p{Script=Cyrillic}\p{Script=Greek}\p{M}0-9]+")
-
-    def characters(value: str) -> str:
-        out = []
-        for c in cluster.findall(value):
-            if len(c) == 1:
-                out.append(mapping.get(c, c))
-            elif emoji.match(c):  # joiners and selectors are part of the picture
-                out.append(c)
-            elif c in mapping:
-                out.append(mapping[c])
-            else:
-                out.append(unicodedata.normalize("NFC", "".join(mapping.get(x, x) for x in c)))
-        return "".join(out)
-
-    def own(run: str) -> bool:
-        """Holds a letter that only Cyrillic or only Greek has."""
-        return any(x not in TO_LATIN and (cyrillic.match(x) or greek.match(x)) for x in run)
-
-    def letters(value: str) -> str:
-        if not alien.search(value):
-            return value
-        found = runs.findall(value)
-        foreign, has_latin = any(own(r) for r in found), any(latin.search(r) for r in found)
-
-        def one(match) -> str:
-            run = match.group()
-            if not alien.search(run):
-                return run
-            if own(run):
-                if latin.search(run) and not any(greek.match(x) for x in run):
-                    return "".join(TO_CYRILLIC.get(x, x) for x in run)
-                return run
-            if latin.search(run) or any(x.isdigit() for x in run) or (not foreign and (has_latin or len(run) == 1)):
-                return "".join(TO_LATIN.get(x, x) for x in run)
-            return run
-
-        return runs.sub(one, value)
+    latin, greek = regex.compile(r"\p{Script=Latin}"), regex.compile(r"\p{Script=Greek}")
+    foreign = regex.compile(r"[\p{Script=Cyrillic}\p{Script=Greek}\p{Script=Cherokee}\p{Script=Lisu}\p{Script=Armenian}]")
+    mark = regex.compile(r"\p{M}")
+
+    @lru_cache(20_000)
+    def kind_of(letter: str) -> tuple[str, bool]:
+        """What a letter is to the word it stands in, or that it ends the word; and whether it is Greek."""
+        c = letter[0]
+        if c in TO_LATIN:
+            kind = "alien"
+        elif latin.match(c):
+            kind = "latin"
+        elif c in "0123456789":
+            kind = "digit"
+        elif foreign.match(c):
+            kind = "own"
+        else:
+            kind = "mark" if mark.match(c) else ""
+        return kind, bool(greek.match(c))
+
+    @lru_cache(20_000)
+    def letters_of(cluster: str) -> tuple[str, ...]:
+        """Longest matches from the left over the mapped characters of a cluster, marks in canonical order."""
+        if len(cluster) > 1 and emoji.match(cluster):  # joiners and selectors are part of the picture
+            return (cluster,)
+        if cluster in mapping and len(mapping[cluster]) < 2:
+            return (mapping[cluster],) if mapping[cluster] else ()
+        parts = unicodedata.normalize("NFD", "".join(mapping.get(x, x) for x in cluster)) if len(cluster) > 1 else mapping.get(cluster, cluster)
+        out, i = [], 0
+        while i < len(parts):
+            node, end, best = trie, i + 1, parts[i]
+            for j in range(i, len(parts)):
+                node = node.get(parts[j])
+                if node is None:
+                    break
+                if "" in node:
+                    end, best = j + 1, node[""]
+            out.append(best)
+            i = end
+        whole = "".join(out)
+        # A mark that stands between a base and its own mark, and Hangul, are composed by the general rule.
+        return tuple(out) if whole.isascii() or unicodedata.is_normalized("NFC", whole) else tuple(unicodedata.normalize("NFC", whole))
 
     def plain(value: str) -> str:
         if not suspicious.search(value):
             return value
-        out = letters(characters(value))
-        return out if out.isascii() else unicodedata.normalize("NFC", out)
+        out: list[str] = []
+        open_words: list[tuple[int, _Word]] = []
+        word, has_latin, has_own = None, False, False
+
+        def close() -> None:
+            nonlocal has_latin, has_own
+            text = word.settled()
+            has_latin, has_own = has_latin or word.latin, has_own or word.own
+            if text is None:
+                open_words.append((len(out), word))
+                text = ""
+            out.append(text)
+
+        for c in cluster.findall(value):
+            for letter in letters_of(c):
+                kind, is_greek = kind_of(letter)
+                if kind:
+                    word = word or _Word()
+                    word.add(letter, kind, is_greek)
+                    continue
+                if word:
+                    close()
+                    word = None
+                out.append(letter)
+        if word:
+            close()
+        for at, held in open_words:
+            out[at] = held.as_latin() if not has_own and (has_latin or len(held.letters) == 1) else "".join(held.letters)
+        text = "".join(out)
+        return text if text.isascii() or unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
 
     return lru_cache(20_000)(plain)
 
