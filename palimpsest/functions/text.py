@@ -28,7 +28,7 @@ def normalize_spaces(text: Column, quotes: str = "\"'“”‘’「」") -> Col
 
 def strip(text: Column) -> Column:
     """Spaces, tabs and wide spaces off both ends."""
-    return F.regexp_replace(text, "^[ \t\u3000]+|[ \t\u3000]+$", "")
+    return F.btrim(text, F.lit(" \t\u3000"))
 
 
 def without_quotes(text: Column, quotes: str = "\"'“”‘’「」") -> Column:

@@ -7,11 +7,15 @@ blank evidence or text, and evidence that no step finds, has no place and the st
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+# Marks of an ellipsis, lengths of the beginnings that are tried, and the windows of the fuzzy step.
 _ELLIPSES = ("……", "...", "…", "..")
+_BEGINNINGS = (20, 16, 12, 10, 8)
+_STEP, _WIDTH, _LEAST = 30, 200, 0.65
 
 
 def _all(text: str, part: str) -> list[int]:
@@ -26,6 +30,33 @@ def _grams(text: str, n: int = 3) -> set[str]:
     return {text[i : i + n] for i in range(len(text) - n + 1)} or {text}
 
 
+@lru_cache(maxsize=8)
+def _places(text: str, n: int = 3) -> dict[str, list[int]]:
+    """Places of each n-gram; facts of one chunk follow each other, so that a text is indexed once."""
+    found: dict[str, list[int]] = {}
+    for i in range(len(text) - n + 1):
+        found.setdefault(text[i : i + n], []).append(i)
+    return found
+
+
+def _best_window(quote: str, text: str) -> tuple[float, int]:
+    """The largest part of the quote's 3-grams that a window holds, and the first window that does."""
+    own, windows = _grams(quote), range(0, max(1, len(text)), _STEP)
+    if len(quote) < 3:
+        scores = [len(own & _grams(text[i : i + _WIDTH])) for i in windows]
+    else:
+        scores, places = [0] * len(windows), _places(text)
+        for gram in own:
+            last = -1
+            for p in places.get(gram, ()):
+                first = max(0, -(-(p - _WIDTH + 3) // _STEP), last + 1)
+                last = max(last, p // _STEP)
+                for w in range(first, last + 1):
+                    scores[w] += 1
+    best = max(scores)
+    return best / len(own), scores.index(best) * _STEP if best else -1
+
+
 def anchor(evidence: str | None, text: str | None, center: int | None = None) -> tuple[int, int, str]:
     """(start, end, strategy) of the evidence in the text; (-1, -1, NONE) if it isn't found."""
     quote = (evidence or "").strip()
@@ -33,7 +64,7 @@ def anchor(evidence: str | None, text: str | None, center: int | None = None) ->
         return -1, -1, "NONE"
     middle = len(text) // 2 if center is None else center
     tight = re.sub(r"\s+", "", quote)
-    for part in dict.fromkeys([quote, *(tight[:n] for n in (20, 16, 12, 10, 8) if len(tight) >= n)]):
+    for part in dict.fromkeys([quote, *(tight[:n] for n in _BEGINNINGS if len(tight) >= n)]):
         hits = _all(text, part)
         if hits:
             at = min(hits, key=lambda h: (abs(h + len(part) // 2 - middle), h))
@@ -52,14 +83,9 @@ def anchor(evidence: str | None, text: str | None, center: int | None = None) ->
             if len(rights) == 1:
                 return rights[0], rights[0] + len(right), "ELLIPSIS_RIGHT_ONLY"
             break
-    own = _grams(quote)
-    best, at = 0.0, -1
-    for i in range(0, max(1, len(text)), 30):
-        score = len(own & _grams(text[i : i + 200])) / len(own)
-        if score > best:
-            best, at = score, i
-    if best >= 0.65:
-        return at, min(len(text), at + 200), "FUZZY_ALIGN"
+    best, at = _best_window(quote, text)
+    if best >= _LEAST:
+        return at, min(len(text), at + _WIDTH), "FUZZY_ALIGN"
     fragments = [f for f in re.split(r"[，,、；;。！？!?…]+", quote) if len(f) >= 8]
     hits = sorted((h, h + len(f)) for f in fragments for h in _all(text, f))
     clusters: list[list[tuple[int, int]]] = []

@@ -184,10 +184,13 @@ def genre_scores(df: DataFrame, key: str, text: str, pack: LanguagePack = NOVEL,
     """(key, genre, score): a word's weight once, plus up to ``extra - 1`` more for heavy words that recur."""
     lexicon = [(g, w, weight) for g, words in pack.genres.items() for w, weight in words.items()]
     entries = F.array(*(F.struct(F.lit(g).alias("genre"), F.lit(w).alias("word"), F.lit(weight).alias("weight")) for g, w, weight in lexicon))
-    # A row per text and word stays inside its task: only keys and scores go on.
-    rows = readable(df, text).select(key, F.lower("__t").alias("l"), F.explode(entries).alias("e"))
-    rows = rows.filter(F.contains("l", "e.word"))
-    n = (F.length("l") - F.length(F.replace("l", "e.word", F.lit("")))) / F.length("e.word")
-    rows = rows.select(key, "e.genre", "e.weight", n.cast("int").alias("n"))
+
+    def counted(e: Column) -> Column:
+        n = (F.length("l") - F.length(F.replace("l", e.word, F.lit("")))) / F.length(e.word)
+        return F.struct(e.genre.alias("genre"), e.weight.alias("weight"), n.cast("int").alias("n"))
+
+    # The words that occur are found before rows are made of them, so that no text is copied.
+    rows = readable(df, text).select(key, F.lower("__t").alias("l"))
+    rows = rows.select(key, F.explode(F.filter(F.transform(entries, counted), lambda e: e.n > 0)).alias("e")).select(key, "e.genre", "e.weight", "e.n")
     more = F.when((F.col("weight") >= 3) & (F.col("n") >= 3), F.least(F.lit(extra), F.col("n") - 1)).otherwise(0)
     return rows.groupBy(key, "genre").agg(F.sum(F.col("weight") + more).alias("score"))

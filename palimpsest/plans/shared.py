@@ -29,6 +29,15 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files have fewer parts than there are cores, and as it is otherwise.
+
+    For costly work on each row of small or badly cut files; large tables are never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialize(df: DataFrame, name: str = "table", parts: list[str] | None = None) -> DataFrame:
     """Write ``df`` as parquet to the shared folder, one table per value of ``parts``, and read it back.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.packs import NOVEL
 from palimpsest.functions.text import ngrams, normalize_newlines, strip, text_hash, token_estimate, unnegated_occurrences
 from palimpsest.operators import metrics, segment
+from palimpsest.plans.shared import spread
 from palimpsest.sources import table
 
 MARKS = NOVEL.terminators
@@ -21,7 +22,7 @@ SENTENCES = f"list_filter(regexp_extract_all({T}, '[^{MARKS}\\n]*[{MARKS}]+|[^{M
 
 
 def _docs(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", *more)
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", *more))
 
 
 def _count(t: str, words) -> str:
