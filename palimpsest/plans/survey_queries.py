@@ -14,6 +14,14 @@ from palimpsest.sources import table
 PATTERNS, MOST_HITS = ("[！!]", "剑", "门", "雨", "letter|night"), 30
 BLOCKED = (("剑", "剑冢"), ("门", "山门"), ("雨", "雾隐"))
 
+# Words of a later time, anywhere in a line, and of another place, at its beginning; a mark or space follows.
+LATER = "次日|翌日|三天后|数日后|半月后|一月后|半年后|数月后|一年后|数年后|翌晨|翌晚|入夜|深夜|天明|清晨|傍晚|午后|午时|子时|丑时|寅时|卯时|辰时|巳时|未时|申时|酉时|戌时|亥时"
+ELSEWHERE = "另一处|另一边|与此同时|却说|且说|话分两头|远处|千里之外|百里之外"
+#: A line at which a scene begins, whatever stands before it.
+SHIFT = f"(?:{LATER})[，。！？\\s\u3000]|^[\\s\u3000]*(?:{ELSEWHERE})[，。！？\\s\u3000]"
+#: Pieces that make up a whole text: sentences with their marks, and line breaks.
+PIECE = f"[^{NOVEL.terminators}\n]*[{NOVEL.terminators}]+|[^{NOVEL.terminators}\n]+|\n"
+
 
 def _facts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return table(spark, sf_dir, "chunk_facts").select("fact_id", *columns).dropDuplicates(["fact_id"])
@@ -137,10 +145,31 @@ def focus_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people.withColumn("place", place).filter("place <= 30")
 
 
+def scene_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines at which a scene begins: after two blank lines or more, or with words of another time or place."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).filter("text is not null")
+    lines = docs.select("doc_id", F.posexplode(F.split(normalize_newlines(F.col("text")), "\n", -1)).alias("no", "line"))
+    lines = lines.withColumn("blank", F.col("line").rlike("^[\\s\u3000]*$"))
+    w = Window.partitionBy("doc_id").orderBy("no")
+    after = F.coalesce(F.lag("blank", 1).over(w) & F.lag("blank", 2).over(w), F.lit(False))
+    # A blank at the end of a line is none that follows a word.
+    shift = F.btrim("line", F.lit(" \t\u3000")).rlike(SHIFT)
+    return lines.withColumn("after", after).filter(~F.col("blank") & (F.col("after") | shift)).select("doc_id", (F.col("no") + 1).alias("line_no"), "after")
+
+
+def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, no, start, end) of every sentence in the text with plain line breaks; blank ones have no row."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).filter("text is not null")
+    pieces = docs.select("doc_id", F.posexplode(F.regexp_extract_all(normalize_newlines(F.col("text")), F.lit(PIECE), F.lit(0))).alias("no", "piece"))
+    end = F.sum(F.length("piece")).over(Window.partitionBy("doc_id").orderBy("no"))
+    rows = pieces.withColumn("end", end).filter(F.col("piece").rlike(r"\S"))
+    return rows.select("doc_id", "no", (F.col("end") - F.length("piece")).alias("start"), "end")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        step_sample, distinct_first_80, manifest_diff_stats, manifest_hash_map, keyword_density, unblocked_keywords, idf_terms, tfidf_weighted_pairs, chapter_pacing, capped_facts, focus_characters,
+        step_sample, distinct_first_80, manifest_diff_stats, manifest_hash_map, keyword_density, unblocked_keywords, idf_terms, tfidf_weighted_pairs, chapter_pacing, capped_facts, focus_characters, scene_breaks, sentence_spans,
     )
 }
 
@@ -152,7 +181,20 @@ _GRAMS = "SELECT item_id, unnest(list_transform(range(1, greatest(length(passage
 _WEIGHTS = f"""g AS (SELECT item_id, gram, count(*) AS tf FROM ({_GRAMS}) GROUP BY ALL), d AS (SELECT gram, count(*) AS df FROM g GROUP BY gram),
   n AS (SELECT count(DISTINCT item_id) AS total FROM eval_passages WHERE passage IS NOT NULL)"""
 
+_T = "regexp_replace(text, '\\r\\n?', chr(10), 'g')"
+
 SQL = {
+    "scene_breaks": f"""
+        WITH d AS (SELECT doc_id, string_split({_T}, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+        l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS no FROM d),
+        b AS (SELECT *, regexp_matches(line, '^[\\s\u3000]*$') AS blank FROM l),
+        a AS (SELECT *, coalesce(lag(blank, 1) OVER w AND lag(blank, 2) OVER w, false) AS after FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY no))
+        SELECT doc_id, no::INT AS line_no, after FROM a WHERE NOT blank AND (after OR regexp_matches(trim(line, ' \u3000' || chr(9)), '{SHIFT}'))""",
+    "sentence_spans": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({_T}, '{PIECE}') AS ps FROM documents WHERE text IS NOT NULL),
+        p AS (SELECT doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) - 1 AS no FROM d),
+        e AS (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY no) AS stop FROM p)
+        SELECT doc_id, no::INT AS no, (stop - length(piece))::BIGINT AS start, stop::BIGINT AS "end" FROM e WHERE regexp_matches(piece, '[^ \\t\\n\\r\\f\\v]')""",
     "step_sample": """
         WITH r AS (SELECT book_id, chunk_idx, doc_id, row_number() OVER (PARTITION BY book_id ORDER BY chunk_idx) - 1 AS i, count(*) OVER (PARTITION BY book_id) AS n FROM documents)
         SELECT book_id, chunk_idx, doc_id FROM r WHERE i IN (SELECT k * n // 20 FROM range(20) t(k))""",
