@@ -15,9 +15,11 @@ of their own; the cut falls on the document boundary that is nearest to the budg
 
 from __future__ import annotations
 
+import os
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,9 +43,13 @@ def _encoding(path: str, pattern: str):
 
 def with_tokens(df: DataFrame, text: str, keep: list[str], tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
     """The columns ``keep`` and ``n_tokens``, the size of ``text`` in tokens; NULL and empty texts have none."""
+    # The vocabulary goes to the executors with the job; they need no copy of their own.
+    df.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
+
 
     def count(batches):
-        encoding = _encoding(tokenizer, pattern)
+        encoding = _encoding(SparkFiles.get(name), pattern)
         for batch in batches:
             texts = batch.column(0).to_pylist()
             sizes = [len(encoding.encode_ordinary(t.encode("utf-8", "replace").decode())) if t else 0 for t in texts]
