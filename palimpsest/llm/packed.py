@@ -46,7 +46,9 @@ def grouped(batches) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
     key, held = None, []
     for batch in batches:
         keys = batch.column(0).to_numpy()
-        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, int)
+        if not len(keys):
+            continue
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         for a, b in zip(starts, np.append(starts[1:], len(keys)), strict=True):
             if held and keys[a] != key:
                 yield key, held

@@ -90,3 +90,18 @@ def test_overlap_counts_multisets():
     assert overlap(["x"], ["x"])[0] == 1.0
     assert overlap([""], ["x"])[0] == 0.0
     assert len(overlap([], [])) == 0
+
+
+def test_members_of_a_group_are_compared_where_leaders_fail(spark):
+    """Two texts of one prefix and size; only the second is similar to a third text."""
+    from palimpsest.llm.neardup import _expanded
+
+    kin = spark.createDataFrame([(1, 2, 0.7)], "leader long, id long, part double")
+    failed = spark.createDataFrame([(1, 9, 0.5), (1, 8, 0.1), (5, 6, 0.6)], "a long, b long, part double")
+    assert {tuple(r) for r in _expanded(failed, kin, 0.62).collect()} == {(2, 9)}
+
+
+def test_hot_and_usual_runs_give_the_same_groups(spark):
+    rows, _ = corpus()
+    df = spark.createDataFrame(rows, "id long, text string, group_id string")
+    assert {r.id: r.group_id for r in near_duplicates(df, "id", "text", hot=1).collect()} == closure(rows)

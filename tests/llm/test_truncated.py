@@ -1,4 +1,4 @@
-from palimpsest.llm.truncated import Terminality, ends_early, find_cut
+from palimpsest.llm.truncated import Terminality, _aligned_end, ends_early, find_cut
 
 
 def test_alignment():
@@ -60,3 +60,22 @@ def test_strongly_cut_value_meets_its_copy(spark):
     df = spark.createDataFrame(rows, "id long, text string")
     got = {r.id: (r.cut, r.by) for r in find_cut(df, "id", "text").collect()}
     assert all(got[100 + i] == (True, "copy") for i in range(12))
+
+
+def test_ends_are_aligned_over_edits():
+    whole = "the ferryman kept every receipt in the blue tin and never showed the magistrate any of them again"
+    letters = whole.replace(" ", "")
+    tail = "keptevryreceiptinthebluetinandnever"[-32:]
+    end = _aligned_end(tail, letters)
+    assert letters[:end].endswith("never")
+    assert _aligned_end("x" * 28 + "ever", letters) == -1
+    value = "the ferryman kept every receipt in the blue tin and nevr showed the magi"
+    assert ends_early(value, f"{whole}. She left.") == 1
+
+
+def test_fields_are_kept_apart(spark):
+    rows = [(i, "a" if i % 2 else "b", v) for i, v in enumerate(values())] + [(900, "a", values()[7][:-9]), (900, "b", None), (901, None, "alone here.")]
+    df = spark.createDataFrame(rows, "id long, field string, text string")
+    got = {(r.field, r.id): r.cut for r in find_cut(df, "id", "text", field="field").collect()}
+    assert got["a", 900] is True and ("b", 900) not in got and ("", 901) in got
+    assert len(got) == 242
