@@ -105,3 +105,49 @@ def test_hot_and_usual_runs_give_the_same_groups(spark):
     rows, _ = corpus()
     df = spark.createDataFrame(rows, "id long, text string, group_id string")
     assert {r.id: r.group_id for r in near_duplicates(df, "id", "text", hot=1).collect()} == closure(rows)
+
+
+def test_texts_with_one_common_clause_do_not_leave_the_task(spark, monkeypatch):
+    """Pairs that share less than the similarity are dropped by their sketches, and all true ones are found."""
+    from palimpsest.llm import neardup
+
+    found = []
+    real = neardup.materialize
+
+    def counted(df, name="table", parts=None):
+        table = real(df, name, parts)
+        if name == "found":
+            found.append(table.count())
+        return table
+
+    monkeypatch.setattr(neardup, "materialize", counted)
+    rnd = random.Random(9)
+    clause = [rnd.choice(WORDS) for _ in range(20)]
+    rows = []
+    for g in range(60):
+        own = [f"{rnd.choice(WORDS)}{rnd.randrange(1000)}" for _ in range(30)]
+        for copy in range(1 + (g < 5)):
+            words = own.copy()
+            words[3 + copy] = f"edit{copy}"
+            rows.append((g + 100 * copy, " ".join(clause + words)))
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = {r.id: r.group_id for r in near_duplicates(df, "id", "text").collect()}
+    assert got == closure([(*r, "x") for r in rows]) == {i: i % 100 for g in range(5) for i in (g, g + 100)}
+    assert found[0] < 500  # 2080 pairs share the clause
+
+
+def test_sketches_bound_the_overlap():
+    from palimpsest.llm.neardup import SKETCH, _sketches
+    from palimpsest.llm.tokens import tokenize
+
+    rnd = random.Random(2)
+    texts = [" ".join(rnd.choice(WORDS) for _ in range(rnd.choice([1, 2, 5, 40, 700]))) for _ in range(60)] + ["", "。", "x", "x"]
+    tokens = tokenize(texts)
+    rows = np.flatnonzero(np.diff(tokens.bounds()))
+    bits = np.unpackbits(_sketches(tokens, rows), 1)
+    assert bits.shape == (len(rows), SKETCH)
+    size = np.maximum(1, np.diff(tokens.bounds())[rows] - 1)
+    for a in range(len(rows)):
+        part = overlap([texts[rows[a]]] * len(rows), [texts[r] for r in rows])
+        most = (bits[a] & bits).sum(1) + np.minimum(size[a] - bits[a].sum(), size - bits.sum(1))
+        assert (part * np.maximum(size[a], size) <= most + 1e-9).all()
